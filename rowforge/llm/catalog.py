@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_duplicates, packing, quality, sharding, telephony, toxicity, warc
+from . import decontamination, html_text, near_duplicates, packing, quality, sharding, telephony, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_fourier_quality": quality.op1,
         "op3_retrieval_packing": packing.op3,
         "op4_hypergeometric_shards": sharding.op4,
+        "op5_site_templates": html_text.op5,
         "op6_probminhash_near_duplicates": near_duplicates.op6,
         "op7_warc": warc.op7,
         "op8_boosted_toxicity": toxicity.op8,
