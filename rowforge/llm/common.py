@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The row identity that operators add to their input; unique and stable only in a written table.
+#: The usual name of the row identity that operators add; it is unique and stable only in a written table.
 UID = "__uid"
 
 
@@ -102,11 +102,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def with_uid(df: DataFrame, label: str) -> DataFrame:
-    """df with a row identity, as a written table. Partition and place of a row are ``uid >> 33`` and ``uid & (2**33 - 1)``.
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df that a result under these names doesn't replace."""
+    replaced = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in replaced]
+
+
+def with_uid(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df with a row identity, as a written table, and the identity's name, which no column of df had.
+
+    Partition and place of a row are ``uid >> 33`` and ``uid & (2**33 - 1)``.
 
     It must be written: a scan that is planned again, say after executors were lost, can deal its rows out otherwise.
     """
-    if UID in df.columns:
-        raise ValueError(f"the input has a column {UID!r} already")
-    return written(df.withColumn(UID, F.monotonically_increasing_id()), label)
+    name = free_name(df, UID)
+    return written(df.withColumn(name, F.monotonically_increasing_id()), label), name

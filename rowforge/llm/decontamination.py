@@ -10,7 +10,7 @@ documents never move between executors and no group of documents can be hot.
 
 Nulls and empty texts have no words and are never contaminated. Repeated documents get equal results each; items that occur
 more than once under one id count once; items without words, and a benchmark without rows, hit nothing. All columns of the
-documents are kept; the result is one struct column under a name that must be free.
+documents are kept; the result is one struct column, which replaces one of its name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_column
+from .common import free_name, others, slices, text_column
 from .words import grams, words_of
 
 RESULT = T.StructType(
@@ -172,21 +172,21 @@ def mark_contamination(
 
     ``block_bytes`` bounds the benchmark text that is sent to the executors at once; a larger benchmark takes more passes.
     """
-    if into.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"the documents have a column {into!r} already")
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), text_column(benchmark, item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    names = docs.columns
-    out = docs
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, RESULT)])
+    body = free_name(docs, "__text")
+    names = [*others(docs, into), body]
+    fields = [docs.schema[c] for c in names[:-1]]
+    out = docs.select(*(F.col(f"`{c}`") for c in names[:-1]), text_column(docs, text).alias(body))
+    schema = T.StructType([*fields, T.StructField(body, T.StringType()), T.StructField(into, RESULT)])
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block)
         rows = sorted(part.distinct().collect())
         index = spark.sparkContext.broadcast(Index([r.id for r in rows], [r.t for r in rows], k, w))
-        out = out.mapInArrow(_scanner(index, text, into, block == 0, names), schema)
-    return out
+        out = out.mapInArrow(_scanner(index, body, into, block == 0, names), schema)
+    return out.drop(body)
 
 
 def contaminated(into: str = "contamination"):

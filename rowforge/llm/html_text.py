@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UID, slices, with_uid, written
+from .common import free_name, others, slices, with_uid, written
 from .html_tree import BLOCK, Node, hash_subtrees, parse
 
 #: Elements, roles and class or id words of what is not main text.
@@ -195,10 +195,10 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("host"), pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["uid", "host", "body", "hashes"])
 
 
-def _texts(names: list[str], into: str):
+def _texts(names: list[str], body: str, template: str, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__html", 1 << 20):
-            texts = [main_text(h, set(t) if t else None) for h, t in zip(batch.column("__html").to_pylist(), batch.column("__template").to_pylist(), strict=True)]
+        for batch in slices(batches, body, 1 << 20):
+            texts = [main_text(h, set(t) if t else None) for h, t in zip(batch.column(body).to_pylist(), batch.column(template).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, into])
 
     return run
@@ -222,12 +222,10 @@ def templates(hashed: DataFrame, least_pages: int, least_share: float) -> DataFr
 def extract_main_text(
     pages: DataFrame, *, html: str = "html", url: str = "url", into: str = "main_text", least_pages: int = 5, least_share: float = 0.5, most_broadcast: int = 200_000
 ) -> DataFrame:
-    """pages with their main text under a name that must be free."""
-    if into.lower() in {c.lower() for c in pages.columns}:
-        raise ValueError(f"the pages have a column {into!r} already")
-    stored = with_uid(pages, "pages")
+    """pages with their main text; a column of that name is replaced."""
+    stored, own = with_uid(pages, "pages")
     source = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit(""))
-    rows = stored.select(F.col(UID).alias("uid"), host_of(F.col(f"`{url}`")).alias("host"), source.alias("html"))
+    rows = stored.select(F.col(own).alias("uid"), host_of(F.col(f"`{url}`")).alias("host"), source.alias("html"))
     hashed = written(rows.mapInArrow(_hashes, "uid long, host string, body long, hashes array<long>"), "subtrees")
     site = written(templates(hashed, least_pages, least_share), "templates")
     on_page = hashed.select("uid", "host", F.explode("hashes").alias("hash")).withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(16)).cast("int"))
@@ -235,10 +233,11 @@ def extract_main_text(
         found = on_page.join(F.broadcast(site), ["host", "hash"])
     else:  # a template hash of a large host is dealt over 16 keys
         found = on_page.join(site.withColumn("salt", F.explode(F.array(*map(F.lit, range(16))))), ["host", "hash", "salt"])
-    found = found.groupBy("uid").agg(F.collect_list("hash").alias("__template"))  # a page's own subtrees at most
-    names = pages.columns
-    joined = stored.withColumn("__html", source).join(found, stored[UID] == found.uid, "left").select(*(F.col(f"`{c}`") for c in names), "__html", "__template")
-    return joined.mapInArrow(_texts(names, into), T.StructType([*pages.schema.fields, T.StructField(into, T.StringType())]))
+    found = found.groupBy("uid").agg(F.collect_list("hash").alias(free_name(stored, "__template")))  # a page's own subtrees at most
+    names, template = others(pages, into), found.columns[1]
+    body = free_name(stored, "__html")
+    joined = stored.join(found.withColumnRenamed("uid", own), own, "left").select(*(F.col(f"`{c}`") for c in names), source.alias(body), F.col(template))
+    return joined.mapInArrow(_texts(names, body, template, into), T.StructType([*(pages.schema[c] for c in names), T.StructField(into, T.StringType())]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -227,13 +227,13 @@ def _across(mixed: DataFrame, texts: DataFrame, threshold: float, block: int = 2
     return sides.mapInArrow(_compare_blocks(threshold), "a long, b long").distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
-    """(uid, doc_id, class_id, kept) for each row of docs, and the stored rows with their uid.
+def near_duplicate_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame, str]:
+    """(uid, doc_id, class_id, kept) for each row of docs, the stored rows with their uid, and the uid's name there.
 
-    ``kept`` marks one row of each class, that with the smallest doc_id. Returns (classes, stored).
+    ``kept`` marks one row of each class, that with the smallest doc_id.
     """
-    stored = with_uid(docs, "documents")
-    texts = stored.select(UID, text_column(stored, text).alias("t"))
+    stored, own = with_uid(docs, "documents")
+    texts = stored.select(F.col(own).alias(UID), text_column(stored, text).alias("t"))
     schema = T.StructType([T.StructField(UID, T.LongType()), T.StructField("t", T.StringType()), T.StructField("wordless", T.BooleanType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     sketched = texts.mapInArrow(_sketches("t"), schema)
     raw = F.when(F.col("wordless"), F.xxhash64("t")).otherwise(F.col("k1"))
@@ -260,20 +260,20 @@ def near_duplicate_classes(docs: DataFrame, *, text: str = "text", doc_id: str =
     if more.take(1):
         roots = components(links.union(more))
     whole = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("uid", F.coalesce("root", "rep").alias("root"))
-    whole = whole.join(stored.select(F.col(UID).alias("uid"), F.col(doc_id).alias("doc_id")), "uid")
+    whole = whole.join(stored.select(F.col(own).alias("uid"), F.col(f"`{doc_id}`").alias("doc_id")), "uid")
     best = whole.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
     classes = whole.join(best, "root").select("uid", "doc_id", F.col("best.doc_id").alias("class_id"), (F.col("best.uid") == F.col("uid")).alias("kept"))
-    return classes, stored
+    return classes, stored, own
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs with one of each class left."""
-    classes, stored = near_duplicate_classes(docs, **options)
-    kept = classes.where("kept").select(F.col("uid").alias(UID))
-    return stored.join(kept, UID, "left_semi").drop(UID)
+    classes, stored, own = near_duplicate_classes(docs, **options)
+    kept = classes.where("kept").select(F.col("uid").alias(own))
+    return stored.join(kept, own, "left_semi").drop(own)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    classes, _ = near_duplicate_classes(docs)
+    classes, _, _ = near_duplicate_classes(docs)
     return classes.select("doc_id", "class_id", "kept")

@@ -224,27 +224,27 @@ def _scorer(model):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", **options) -> tuple[DataFrame, DataFrame]:
-    """(uid, score) for each row of docs, and the stored rows with their uid."""
-    stored = with_uid(docs, "documents")
-    rows = stored.select(UID, fold(doc_id).alias("fold"), text_column(stored, text).alias("t"))
+def quality_scores(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", **options) -> tuple[DataFrame, DataFrame, str]:
+    """(uid, score) for each row of docs, the stored rows with their uid, and the uid's name there."""
+    stored, own = with_uid(docs, "documents")
+    rows = stored.select(F.col(own).alias(UID), fold(doc_id).alias("fold"), text_column(stored, text).alias("t"))
     schema = T.StructType([T.StructField(UID, T.LongType()), T.StructField("fold", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
     described = written(rows.mapInArrow(_statistics, schema), "statistics")
-    ids = stored.select(UID, F.col(f"`{doc_id}`").alias("doc_id"))
+    ids = stored.select(F.col(own).alias(UID), F.col(f"`{doc_id}`").alias("doc_id"))
     model = fit(described.join(ids, UID), training_labels(labels, label), **options)
     model = docs.sparkSession.sparkContext.broadcast(model)
     scored = described.select(UID, "x").mapInArrow(_scorer(model), T.StructType([T.StructField(UID, T.LongType()), T.StructField("score", T.DoubleType())]))
-    return scored, stored
+    return scored.withColumnRenamed(UID, own), stored, own
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored, stored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = stored.select(UID, "doc_id").join(scored, UID)
+    scored, stored, own = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = stored.select(own, "doc_id").join(scored, own)
     return rows.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def without_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score reaches the threshold."""
-    scored, stored = quality_scores(docs, labels)
-    return stored.join(scored.where(F.col("score") >= threshold).select(UID), UID, "left_semi").drop(UID)
+    scored, stored, own = quality_scores(docs, labels)
+    return stored.join(scored.where(F.col("score") >= threshold).select(own), own, "left_semi").drop(own)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UID, text_column, with_uid, written
+from .common import free_name, others, text_column, with_uid, written
 
 SHARDS = 40
 #: The bound of the matrix: written partitions beyond it are dealt as one.
@@ -72,13 +72,13 @@ def _count(seed: int, bins: int):
     return run
 
 
-def _dealt(matrix, seed: int, bins: int, first: np.ndarray, names: list[str]):
+def _dealt(matrix, seed: int, bins: int, first: np.ndarray, uid_name: str, names: list[str]):
     """Adds shard, bin and key. ``first`` has the number of rows before a written partition in its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, now, dealt = matrix.value, -1, None
         for batch in batches:
-            uid = batch.column(UID).to_numpy()
+            uid = batch.column(uid_name).to_numpy()
             part, place = uid >> 33, uid & _PLACE
             shard, key = np.zeros(len(uid), np.int32), np.zeros(len(uid), np.int64)
             for p in np.unique(part).tolist():
@@ -88,22 +88,24 @@ def _dealt(matrix, seed: int, bins: int, first: np.ndarray, names: list[str]):
                 own = part == p
                 at = place[own] + first[p]
                 shard[own], key[own] = dealt[0][at], dealt[1][at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shard), pa.array(_bins_of(key, bins)), pa.array(key)], names=[*names, "__shard", "__bin", "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard), pa.array(_bins_of(key, bins)), pa.array(key)], names=names)
 
     return run
 
 
-def shuffle_into_shards(docs: DataFrame, *, shards: int = SHARDS, seed: int = 20_240_229, bin_rows: int = 50_000) -> DataFrame:
-    """docs with ``__shard`` (0 to shards - 1) and ``__slot`` (0 to the shard's rows - 1).
+def shuffle_into_shards(docs: DataFrame, *, shards: int = SHARDS, seed: int = 20_240_229, bin_rows: int = 50_000, into=("__shard", "__slot")) -> DataFrame:
+    """docs with the shard (0 to shards - 1) and the slot (0 to the shard's rows - 1); columns of these names are replaced.
 
     ``bin_rows`` is about how many rows a task orders at once.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     spark = docs.sparkSession
+    docs = docs.select(*(F.col(f"`{c}`") for c in others(docs, *into)))
     names = docs.columns
-    stored = with_uid(docs, "rows")
-    found = stored.groupBy(F.shiftright(UID, 33).alias("part")).agg(F.count("*").alias("n")).collect()  # a row a partition
+    stored, uid = with_uid(docs, "rows")
+    shard, bin_, key = (free_name(stored, c) for c in ("__shard", "__bin", "__key"))
+    found = stored.groupBy(F.shiftright(F.col(uid), 33).alias("part")).agg(F.count("*").alias("n")).collect()  # a row a partition
     written_parts = max([r.part for r in found], default=-1) + 1
     parts = max(1, min(written_parts, MOST_PARTITIONS))
     own = np.zeros(max(written_parts, 1), np.int64)
@@ -116,21 +118,22 @@ def shuffle_into_shards(docs: DataFrame, *, shards: int = SHARDS, seed: int = 20
     counts = communication_matrix(rows, shards, seed)
     bins = max(1, math.ceil(int(rows.sum()) / shards / bin_rows))
     matrix = spark.sparkContext.broadcast(counts)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__shard", T.IntegerType()), T.StructField("__bin", T.LongType()), T.StructField("__key", T.LongType())])
-    dealt = stored.mapInArrow(_dealt(matrix, seed, bins, first, names + [UID]), T.StructType([*docs.schema.fields, T.StructField(UID, T.LongType()), *schema.fields[-3:]]))
-    order = Window.partitionBy("__shard", "__bin").orderBy("__key", UID)
+    schema = T.StructType([*stored.schema.fields, T.StructField(shard, T.IntegerType()), T.StructField(bin_, T.LongType()), T.StructField(key, T.LongType())])
+    dealt = stored.mapInArrow(_dealt(matrix, seed, bins, first, uid, schema.names), schema)
+    order = Window.partitionBy(shard, bin_).orderBy(key, uid)
     slot = (F.row_number().over(order) - 1).cast("long")
-    out = dealt.withColumn("__slot", slot)
+    out, at = dealt.withColumn(free_name(dealt, "__slot"), slot), F.col(free_name(dealt, "__slot"))
     if bins > 1:
         plan = spark.createDataFrame(pa.table({"part": pa.array(range(parts), pa.int64()), "counts": pa.array(counts.tolist(), pa.list_(pa.int64()))}))
         sizes = plan.repartition(min(parts, 1024)).mapInArrow(_count(seed, bins), "shard int, bin long, n long").groupBy("shard", "bin").agg(F.sum("n").alias("n"))
         before = F.sum("n").over(Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-        before = sizes.select(F.col("shard").alias("__s"), F.col("bin").alias("__b"), F.coalesce(before, F.lit(0)).alias("__before"))
+        before = sizes.select(F.col("shard").alias(shard), F.col("bin").alias(bin_), F.coalesce(before, F.lit(0)).alias(free_name(out, "__before")))
         before = written(before, "bins")
+        at = at + F.col(before.columns[2])
         if shards * bins <= 1_000_000:  # a cell takes a few bytes
             before = F.broadcast(before)
-        out = out.join(before, (F.col("__shard") == F.col("__s")) & (F.col("__bin") == F.col("__b"))).withColumn("__slot", F.col("__slot") + F.col("__before"))
-    return out.select(*(F.col(f"`{c}`") for c in names), "__shard", "__slot")
+        out = out.join(before, [shard, bin_])
+    return out.select(*(F.col(f"`{c}`") for c in names), F.col(shard).alias(into[0]), at.alias(into[1]))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .boosting import BoostedTrees
 from .calibration import Isotonic
-from .common import slices, text_column, written
+from .common import free_name, others, slices, text_column, written
 from .labelled import fold, training_labels
 
 #: Common English insults, and second-person words of English, German, French and Spanish.
@@ -204,27 +204,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000) -> Model
     return Model(lexicons[2], BoostedTrees(x, y), Isotonic(held, y))
 
 
-def _scorer(model, names: list[str], into: str):
+def _scorer(model, names: list[str], body: str, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         tokens = Tokens(m.lexicon) if m else None
-        for batch in slices(batches, "__t", 1 << 20):
-            score = m.calibrate(m.trees(features(batch.column("__t").to_pylist(), tokens))) if m else np.zeros(batch.num_rows)
+        for batch in slices(batches, body, 1 << 20):
+            score = m.calibrate(m.trees(features(batch.column(body).to_pylist(), tokens))) if m else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, into])
 
     return run
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", into: str = "toxicity", fit_rows: int = 20_000) -> DataFrame:
-    """docs with a score from 0 to 1 under a name that must be free."""
-    if into.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"the documents have a column {into!r} already")
+    """docs with a score from 0 to 1; a column of its name is replaced."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_column(docs, text).alias("t"))
     model = fit(rows, training_labels(labels, label), fit_rows=fit_rows)
     model = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
-    return docs.withColumn("__t", text_column(docs, text)).mapInArrow(_scorer(model, names, into), schema)
+    names, body = others(docs, into), free_name(docs, "__text")
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(into, T.DoubleType())])
+    return docs.withColumn(body, text_column(docs, text)).mapInArrow(_scorer(model, names, body, into), schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

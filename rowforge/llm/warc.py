@@ -178,7 +178,7 @@ def write_warc(
     fs, path = _filesystem(uri)
     fs.create_dir(path, recursive=True)
     payload = F.coalesce(F.col(html).cast("string").cast("binary"), F.lit(b""))
-    stored = with_uid(pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")), "pages")
+    stored, _ = with_uid(pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")), "pages")
     # page ids sort by their own order, numbers by value
     order = F.coalesce(F.col("page_id").cast("string"), F.lit("\U0010ffff"))
     if isinstance(stored.schema["page_id"].dataType, T.IntegralType):
