@@ -22,6 +22,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UID, scratch_path, slices, with_uid
+from .common import scratch_path, slices, written
 
 #: Fixed value: the profile of revisits with an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -134,19 +135,28 @@ _LISTED = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", p
 
 
 def _writer(uri: str, most: int):
+    """Writes rows ordered by shard, key and role. Of a key's rows those of role 0 say which page its payload refers to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         token = f"{task.stageId()}-{task.taskAttemptId()}"
-        files, listed, last, place = None, [], None, 0
+        files, listed, last, place, refers, first = None, [], None, 0, None, True
+        names = ("shard", "role", "sort_url", "sort_page", "digest", "page", "url", "payload", "refers", "first")
         for batch in slices(batches, "payload"):
-            for shard, page, url, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("shard", "page", "url", "payload", "refers")), strict=True):
+            for shard, role, *key, page, url, payload, refers_to, is_first in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if key != last:
+                    last, place, refers, first = key, 0, None, True
+                if role == 0:
+                    refers, first = refers_to, is_first
+                    continue
                 if files is None or files.shard != shard:
                     if files is not None and files.out is not None:
                         listed.append(files.close())
                     files = _Files(uri, shard, most, token)
-                key = (page, url)
-                place, last = (place + 1 if key == last else 0), key  # equal rows stand together and get ids of their own
-                listed += files.add(page_record(page, url, payload, refers, place))
+                # equal rows stand together and get ids of their own; the first of the first key is the response
+                revisited = None if refers is None or (first and place == 0) else refers
+                listed += files.add(page_record(page, url, payload, revisited, place))
+                place += 1
         if files is not None and files.out is not None:
             listed.append(files.close())
         yield pa.RecordBatch.from_pylist(listed, _LISTED)
@@ -154,16 +164,6 @@ def _writer(uri: str, most: int):
     return run
 
 
-def _sharded(bounds):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = bounds.value
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("sort_url", "sort_page", "digest")), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(UID), pa.array([bisect_right(cuts, k) for k in keys], pa.int32())], names=[UID, "shard"])
-
-    return run
-
-
 def write_warc(
     pages: DataFrame, uri: str | None = None, *, page_id: str = "page_id", url: str = "url", html: str = "html",
     least_revisit: int = 0, shard_bytes: int = 32 << 20, file_bytes: int = 16 << 20, sample: int = 200_000,
@@ -171,34 +171,45 @@ def write_warc(
     """Writes the pages and returns the folder. A payload smaller than ``least_revisit`` bytes is never a revisit.
 
     ``shard_bytes`` of payload go into a shard, ``file_bytes`` compressed into a file; ``sample`` bounds the keys that the
-    driver sees to place the bounds.
+    driver sees to place the bounds. Payloads move between executors once.
     """
     spark = pages.sparkSession
     uri = uri or scratch_path(spark, "warc")
     fs, path = _filesystem(uri)
     fs.create_dir(path, recursive=True)
-    payload = F.coalesce(F.col(html).cast("string").cast("binary"), F.lit(b""))
-    stored, _ = with_uid(pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")), "pages")
+    payload = F.coalesce(F.col(f"`{html}`").cast("string").cast("binary"), F.lit(b""))
+    base = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"))
     # page ids sort by their own order, numbers by value
     order = F.coalesce(F.col("page_id").cast("string"), F.lit("\U0010ffff"))
-    if isinstance(stored.schema["page_id"].dataType, T.IntegralType):
-        order = F.concat(F.when(F.col("page_id") < 0, "-").when(F.col("page_id").isNull(), "~").otherwise("0"), F.lpad(F.coalesce(F.col("page_id"), F.lit(0)).cast("decimal(20,0)").cast("string"), 20, "0"))
-    slim = stored.select(UID, "page_id", F.coalesce("url", F.lit("")).alias("sort_url"), order.alias("sort_page"), F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size"))
+    if isinstance(base.schema["page_id"].dataType, T.IntegralType):
+        order = F.concat(F.when(F.col("page_id") < 0, "-").when(F.col("page_id").isNull(), "~").otherwise("0"), F.lpad(F.abs(F.coalesce(F.col("page_id"), F.lit(0)).cast("decimal(20,0)")).cast("string"), 20, "0"))
+    keys = [F.coalesce("url", F.lit("")).alias("sort_url"), order.alias("sort_page"), F.sha1("payload").alias("digest")]
+    slim = written(base.select("page_id", *keys, F.octet_length("payload").alias("size")), "payloads")
     total = slim.agg(F.sum("size")).first()[0] or 0
     shards = max(1, min(sample // 16, math.ceil(total / shard_bytes)))
-    keys = []
+    chosen = []
     if shards > 1:
-        chosen = slim.orderBy(F.xxhash64("sort_url", "sort_page", "digest"), UID).limit(min(sample, 256 * shards)).select("sort_url", "sort_page", "digest")
-        keys = sorted(tuple(r) for r in chosen.collect())
-    bounds = spark.sparkContext.broadcast([keys[i * len(keys) // shards] for i in range(1, shards)] if keys else [])
-    placed = slim.mapInArrow(_sharded(bounds), T.StructType([T.StructField(UID, T.LongType()), T.StructField("shard", T.IntegerType())]))
-    first = slim.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min(F.struct("sort_page", "page_id", UID)).alias("first"), F.count("*").alias("n")).where("n > 1")
+        rows = slim.orderBy(F.xxhash64("sort_url", "sort_page", "digest"), "sort_url", "sort_page", "digest").limit(min(sample, 256 * shards)).select("sort_url", "sort_page", "digest")
+        chosen = sorted(tuple(r) for r in rows.collect())
+    bounds = spark.sparkContext.broadcast([chosen[i * len(chosen) // shards] for i in range(1, shards)] if chosen else [])
+
+    @F.pandas_udf("int")
+    def shard_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([bisect_right(bounds.value, k) for k in zip(*columns, strict=True)], dtype="int32")
+
+    own = F.struct("sort_page", "sort_url", "page_id")
+    first = slim.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min(own).alias("own"), F.count("*").alias("n")).where("n > 1")
     # the copies of one payload are dealt over 16 keys
-    first = first.select("digest", F.col("first.page_id").alias("first_page"), F.col(f"first.{UID}").alias("first_uid"), F.explode(F.array(*map(F.lit, range(16)))).alias("salt"))
-    refers = slim.withColumn("salt", F.pmod(F.xxhash64(UID), F.lit(16)).cast("int")).join(first, ["digest", "salt"]).where(F.col("first_uid") != F.col(UID)).select(UID, F.coalesce(F.col("first_page").cast("string"), F.lit("")).alias("refers"))
-    rows = stored.join(placed, UID).join(refers, UID, "left").join(slim.select(UID, "sort_page", "digest"), UID)
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.coalesce("url", F.lit("")), "sort_page", "digest", F.col("refers").isNotNull(), UID)
-    rows = rows.select("shard", F.col("page_id").cast("string").alias("page"), "url", "payload", "refers")
+    first = first.select("digest", "own", F.explode(F.array(*map(F.lit, range(16)))).alias("salt"))
+    copies = slim.withColumn("salt", F.pmod(F.xxhash64("sort_url", "sort_page"), F.lit(16)).cast("int")).join(first, ["digest", "salt"])
+    is_first = (F.col("own.sort_page") == F.col("sort_page")) & (F.col("own.sort_url") == F.col("sort_url"))
+    notes = copies.select("sort_url", "sort_page", "digest", F.coalesce(F.col("own.page_id").cast("string"), F.lit("")).alias("refers"), is_first.alias("first")).distinct()
+    empty = F.lit(None).cast("string")
+    notes = notes.select("sort_url", "sort_page", "digest", F.lit(0).alias("role"), empty.alias("page"), empty.alias("url"), F.lit(None).cast("binary").alias("payload"), "refers", "first")
+    records = base.select(*keys, F.lit(1).alias("role"), F.col("page_id").cast("string").alias("page"), "url", "payload", empty.alias("refers"), F.lit(None).cast("boolean").alias("first"))
+    rows = records.union(notes).withColumn("shard", shard_of("sort_url", "sort_page", "digest"))
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "sort_url", "sort_page", "digest", "role")
     listed = rows.mapInArrow(_writer(uri, file_bytes), "file string, records long, bytes long, sha256 string").collect()  # a row a file
     manifest = json.dumps({"format": "WARC/1.1", "files": sorted((r.asDict() for r in listed), key=lambda r: r["file"])}, indent=1)
     with fs.open_output_stream(f"{path}/.{MANIFEST}") as out:
