@@ -16,8 +16,9 @@ against a document. Repeated rows are scored alike. Extra columns stay.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,40 +71,63 @@ def terms(text: str) -> set[str]:
 
 
 class Tokens(dict):
-    """From a token to its row in a table of token features; rows are made when a token is first seen."""
+    """From a token to its row in a table of token features; a row is made when its token is first seen.
+
+    Row 0 is that of plain words which nothing is known about; they are the bulk of any vocabulary and aren't kept.
+    """
 
     def __init__(self, lexicon: dict[str, float], most: int = 1 << 18):
         super().__init__()
-        self.lexicon, self.most = lexicon, most
-        self.rows: list[tuple[float, ...]] = []
+        self.most = most
+        self.words = {t[1:]: v for t, v in lexicon.items() if t[0] == "="}
+        self.starts = {t[1:]: v for t, v in lexicon.items() if t[0] == "^"}
+        self.lengths = sorted({len(t) for t in self.starts})
+        self.known, self.pending, self.late = np.zeros((1, 11)), [], []
 
     def __missing__(self, token: str) -> int:
+        word = token if token.isalpha() else token[:-1] if token[-1] in ".,;:" and token[:-1].isalpha() else ""
+        if len(word) > 1:  # a plain word: nothing to undo
+            low, get, start = word.lower(), self.starts.get, 0.0
+            for n in self.lengths:
+                if n >= len(low):
+                    break
+                start = max(start, get(low[:n], 0.0))
+            learned, insult, you, capital = self.words.get(low, 0.0), low in INSULTS, low in SECOND_PERSON, token.upper() == token and token.lower() != token
+            if not (start or learned or insult or you or capital):
+                return 0
+            row = (insult, learned, start, you, capital, 0, 0, False, False, False, False)
+        else:
+            row = self._row(token)
+        if len(self) < self.most:
+            self[token] = at = len(self.known) + len(self.pending)
+            self.pending.append(row)
+            return at
+        self.late.append(row)
+        return -len(self.late)
+
+    def _row(self, token: str) -> tuple[float, ...]:
         low = token.lower()
         word = _OUTER.sub("", low)
         plain = _INNER.sub("", word.translate(_SIGNS)) if word else ""
         obscured = bool(_OBSCURE.search(_OUTER.sub("", token)))
         insult, unmasked = word in INSULTS, False
-        learned, start = self.lexicon.get("=" + word, 0.0), max((self.lexicon.get("^" + b, 0.0) for b in beginnings(word)), default=0.0)
-        if plain != word and not insult and learned == 0 and (plain in INSULTS or self.lexicon.get("=" + plain, 0.0) > 0):
-            unmasked, insult, learned = True, plain in INSULTS, self.lexicon.get("=" + plain, 0.0)
+        learned, start = self.words.get(word, 0.0), max((self.starts.get(b, 0.0) for b in beginnings(word)), default=0.0)
+        if plain != word and not insult and learned == 0 and (plain in INSULTS or self.words.get(plain, 0.0) > 0):
+            unmasked, insult, learned = True, plain in INSULTS, self.words.get(plain, 0.0)
         capital = len(word) > 1 and token.upper() == token and low != token
-        marks = len(token) - len(token.rstrip("!?.*#%$&@")) if token else 0
-        row = (insult, learned, start, word in SECOND_PERSON, capital, token.count("!"), token.count("?"), marks > 1, obscured, unmasked, len(word) == 1 and word.isalpha())
-        if len(self) < self.most:
-            self[token] = len(self.rows)
-            self.rows.append(row)
-            return len(self.rows) - 1
-        self.late.append(row)
-        return -len(self.late)
+        marks = len(token) - len(token.rstrip("!?.*#%$&@"))
+        return (insult, learned, start, word in SECOND_PERSON, capital, token.count("!"), token.count("?"), marks > 1, obscured, unmasked, len(word) == 1 and word.isalpha())
 
     def table(self, texts: list[list[str]]) -> np.ndarray:
         """The features of all tokens of the texts, one after another."""
-        self.late: list[tuple[float, ...]] = []
-        at = np.fromiter((self[t] for own in texts for t in own), np.int64)
-        if not len(at):
-            return np.zeros((0, 11))
-        rows = np.array(self.rows + self.late[::-1], float)
-        return rows[np.where(at < 0, len(rows) + at, at)]
+        self.late.clear()
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        if self.pending:
+            self.known = np.concatenate([self.known, np.array(self.pending, float)])
+            self.pending.clear()
+        if not self.late:
+            return self.known[at]
+        return np.concatenate([self.known, np.array(self.late[::-1], float)])[np.where(at < 0, len(self.known) + len(self.late) + at, at)]
 
 
 def features(texts: list[str | None], tokens: Tokens) -> np.ndarray:
@@ -137,12 +161,14 @@ def features(texts: list[str | None], tokens: Tokens) -> np.ndarray:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per partition: in how many texts a term occurs, by class and half of the folds."""
-    found: Counter = Counter()
+    found: dict[tuple[int, int], Counter] = defaultdict(Counter)
     for batch in batches:
         for t, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("t", "label", "half")), strict=True):
-            found.update((x, int(toxic > 0), half) for x in terms(t))
-    keys = list(found)
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["term", "toxic", "half", "n"])
+            found[int(toxic > 0), half].update(terms(t))
+    for (toxic, half), counts in found.items():
+        names, n = pa.array(list(counts), pa.string()), len(counts)
+        columns = [names, pa.array(np.full(n, toxic)), pa.array(np.full(n, half)), pa.array(list(counts.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "half", "n"])
 
 
 def _lexicons(sample: DataFrame, least: int = 3, size: int = 8192) -> list[dict[str, float]]:
