@@ -5,27 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import check_queries
+from . import check_queries, record_queries, serde_queries
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
-for _queries, _oracles in (check_queries.build(),):
+for _queries, _oracles in (check_queries.build(), record_queries.build(), serde_queries.build()):
     _QUERIES |= _queries
     _ORACLES |= _oracles
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = table(spark, sf_dir, "lineitem")
-    ok = F.col("l_quantity").between(1, 50) & F.col("l_returnflag").isin("A", "N", "R")
-    return lineitem.select("l_orderkey", "l_linenumber", ok.alias("ok"))
+    return record_queries.validate_customer(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
