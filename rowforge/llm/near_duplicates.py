@@ -240,14 +240,18 @@ def near_duplicate_classes(docs: DataFrame, *, text: str = "text", doc_id: str =
     raw2 = F.when(F.col("wordless"), F.xxhash64(F.lit(1), "t")).otherwise(F.col("k2"))
     sketched = written(sketched.select(F.col(UID).alias("uid"), raw.alias("k1"), raw2.alias("k2"), "bands"), "sketches")
     # copies: one representative for equal words
-    first = sketched.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
-    member = written(sketched.select("uid", "k1", "k2").join(first, ["k1", "k2"]).select("uid", "rep"), "members")
+    # (what is counted by a key is written before the rows of that key meet it, so that Spark may split a hot key's rows)
+    first = written(sketched.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    member = sketched.select("uid", "k1", "k2").join(first, ["k1", "k2"], "left").select("uid", F.coalesce("rep", "uid").alias("rep"))
+    member = written(member, "members")
     reps = member.where("uid = rep").select("uid")
     buckets = sketched.select("uid", "bands").join(reps, "uid", "left_semi").select("uid", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(shared, "buckets")
     near = written(buckets.join(shared, "key"), "candidates")
     score = near.groupBy("uid").agg(F.sum("n").alias("score"))
     hubs = near.join(score, "uid").groupBy("key").agg(F.max_by("uid", F.struct("score", -F.col("uid"))).alias("hub"))
+    hubs = written(hubs, "hubs")
     near_hub = near.select("key", "uid").join(hubs, "key")
     pairs = written(near_hub.where("hub <> uid").select("hub", "uid").distinct(), "pairs")
     bodies = texts.select(F.col(UID).alias("uid"), "t")
@@ -256,13 +260,18 @@ def near_duplicate_classes(docs: DataFrame, *, text: str = "text", doc_id: str =
     # what a hub hides: members of one bucket that are still in different classes
     known = near.select("key", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    mixed = written(mixed, "mixed")
     more = written(_across(written(known.join(mixed, "key"), "mixed"), bodies, threshold), "links")
     if more.take(1):
         roots = components(links.union(more))
     whole = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("uid", F.coalesce("root", "rep").alias("root"))
     whole = whole.join(stored.select(F.col(own).alias("uid"), F.col(f"`{doc_id}`").alias("doc_id")), "uid")
-    best = whole.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
-    classes = whole.join(best, "root").select("uid", "doc_id", F.col("best.doc_id").alias("class_id"), (F.col("best.uid") == F.col("uid")).alias("kept"))
+    best = whole.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = written(best.select("root", F.col("best.doc_id").alias("best_id"), F.col("best.uid").alias("best_uid")), "classes")
+    alone = F.col("best_uid").isNull()
+    classes = whole.join(best, "root", "left").select(
+        "uid", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")).alias("class_id"), (alone | (F.col("best_uid") == F.col("uid"))).alias("kept")
+    )
     return classes, stored, own
 
 
