@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, near_duplicates, packing, quality, sharding, telephony, toxicity, warc
+from . import decontamination, html_text, licenses, near_duplicates, packing, quality, sharding, telephony, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_fourier_quality": quality.op1,
+        "op2_license_scan": licenses.op2,
         "op3_retrieval_packing": packing.op3,
         "op4_hypergeometric_shards": sharding.op4,
         "op5_site_templates": html_text.op5,

@@ -1,0 +1,122 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rowforge.llm import quality, toxicity
+from rowforge.llm.boosting import BoostedTrees
+from rowforge.llm.calibration import Isotonic
+from rowforge.llm.labelled import fold, training_labels
+
+
+def test_isotonic_is_the_least_squares_fit():
+    rng = np.random.default_rng(1)
+    x = np.sort(rng.random(60))
+    y = (rng.random(60) < x).astype(float)
+    fit = Isotonic(x, y)
+    assert (np.diff(fit.y) > 0).all() and np.isclose((Isotonic(x, y)(x)).mean(), y.mean(), atol=0.05)
+    # the definition: the max over lower ends of the min over upper ends of means
+    blocks = [max(min(y[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    assert np.allclose(np.unique(np.round(blocks, 9)), np.unique(np.round(fit.y, 9)))
+    weighted, repeated = Isotonic(np.array([1.0, 2.0]), np.array([0.0, 1.0]), np.array([3.0, 1.0])), Isotonic(np.array([1.0, 1, 1, 2]), np.array([0.0, 0, 0, 1]))
+    assert (weighted.x == repeated.x).all() and (weighted.y == repeated.y).all()
+
+
+def test_trees_learn_an_interaction():
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, 5))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    a = BoostedTrees(x[:2000], y[:2000])
+    assert ((a(x[2000:]) > 0) == y[2000:]).mean() > 0.95
+    assert (BoostedTrees(x[:2000], y[:2000])(x) == a(x)).all()
+    constant = BoostedTrees(np.zeros((5, 2)), np.ones(5))
+    assert np.isfinite(constant(np.zeros((3, 2)))).all()
+
+
+def test_ridge_by_partitions_is_the_direct_solution(spark):
+    """Partition-summed normal equations give the weights that one matrix of all rows gives."""
+    rng = np.random.default_rng(3)
+    x = rng.random((200, len(quality.STATISTICS)))
+    y = (x[:, 0] + 0.1 * rng.random(200) > 0.5).astype(float)
+    df = spark.createDataFrame([(i, 1 + i % 4, x[i].tolist(), float(y[i])) for i in range(200)], "doc_id long, fold int, x array<double>, label double").repartition(5)
+    model = quality.fit(df.drop("label"), df.select("doc_id", "label"), features=16, widths=(2.0,), penalties=(0.1,))
+    z = model.fourier(x)
+    n = z.shape[1]
+    direct = np.linalg.solve(z.T @ z + 0.1 * (1 + len(z) * 1e-4) * np.eye(n), z.T @ y)
+    assert np.allclose(model.weights, direct, atol=1e-6)
+
+
+def test_fourier_features_approximate_the_kernel():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 6))
+    f = quality.Fourier(np.zeros(6), np.ones(6), 20_000, 2.0, 1)
+    z = f(x)[:, :-1]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * 4.0))
+    assert np.abs(z @ z.T - kernel).max() < 0.05
+
+
+def test_statistics_of_odd_texts():
+    import pyarrow as pa
+
+    x = quality.statistics(pa.array(["", None, "a", "!!!", "\n\n", "A A A", "x" * 9999, "é|%$ 1"], pa.string()))
+    assert x.shape == (8, len(quality.STATISTICS)) and np.isfinite(x).all() and (x[0] == x[1]).all()
+
+
+def test_token_features():
+    tokens = toxicity.Tokens({"=blarg": 3.0, "^grum": 2.0})
+    names = toxicity.FEATURES
+    rows = toxicity.features(["you are an 1d10t and a M.o.R.o.N", "a grumble, Blarg! blarg", "", None, "THE END", "fine words here"], tokens)
+    row = lambda i: dict(zip(names, rows[i], strict=True))
+    assert row(0)["insults"] == 2 and row(0)["unmasked"] == 2 and row(0)["near_second_person"] == 2
+    assert row(1)["learned"] == 2 and row(1)["beginnings"] == 1 and row(1)["exclamations"] == pytest.approx(1 / 4)
+    assert not rows[2].any() and not rows[3].any() and row(4)["capital_tokens"] == 1 and row(5)["insults"] == 0
+    few = toxicity.Tokens({"=blarg": 3.0, "^grum": 2.0}, most=1)  # tokens beyond the table's size count alike
+    texts = ["you are an 1d10t and a M.o.R.o.N", "a grumble, Blarg! blarg", "X!! y?? Z"]
+    assert np.array_equal(toxicity.features(texts, few), toxicity.features(texts, toxicity.Tokens({"=blarg": 3.0, "^grum": 2.0})))
+
+
+@pytest.mark.parametrize(("run", "label", "threshold", "accuracy"), [(quality.op1, "quality", 0.3, 0.95), (toxicity.op8, "toxic", 0.5, 0.93)])
+def test_held_out_accuracy(spark, sf_dir, run, label, threshold, accuracy):
+    rows = run(spark, sf_dir).cache()
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert rows.where(f"score is null or score < 0 or score > 1 or predicted <> (case when score >= {threshold} then 1 else 0 end)").count() == 0
+    assert rows.where("held_out <> (crc32(cast(doc_id as string)) % 5 = 0)").count() == 0
+    held = rows.where("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    assert held.where(F.col("predicted") == F.col(label)).count() >= accuracy * held.count()
+
+
+@pytest.mark.parametrize("kind", ["quality", "toxicity"])
+def test_edges(spark, edge_docs, no_docs, kind):
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(1, 9)] + [(1, None, 1), (None, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+
+    def scores(docs, labels):
+        if kind == "toxicity":
+            out = toxicity.toxicity_scores(docs, labels, into="Score")
+            assert sorted(out.columns) == sorted([*(c for c in docs.columns if c != "score"), "Score"])
+            return [(r.text, r.Score) for r in out.collect()]
+        scored, stored, own = quality.quality_scores(docs, labels)
+        return [(r.text, r.s) for r in stored.join(scored.select(own, F.col("score").alias("s")), own).collect()]
+
+    found = scores(edge_docs, labels)
+    assert len(found) == edge_docs.count() and all(0 <= s <= 1 for _, s in found)
+    by_text = {}
+    for t, s in found:
+        assert by_text.setdefault(t or "", s) == s
+    neutral = 1.0 if kind == "quality" else 0.0
+    for none in (labels.limit(0), labels.where("quality = 1 and toxic = 0").limit(1), labels.selectExpr("doc_id", "cast(null as int) quality", "cast(null as int) toxic")):
+        assert {s for _, s in scores(edge_docs, none)} == {neutral}
+    assert scores(no_docs, labels) == []
+
+
+def test_held_out_labels_are_never_read(spark):
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, toxic int")
+    left = training_labels(labels, "toxic")
+    assert left.where(fold() == 0).count() == 0 and 0 < left.count() < 100
+
+
+def test_scores_do_not_see_ids(spark, sf_dir):
+    """Other ids, languages and sources of unlabelled documents change no score."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    unlabelled = docs.join(labels, "doc_id", "left_anti").limit(50).selectExpr("doc_id + 1000000000 doc_id", "text", "'zz' lang", "'zz' source", "0L n_chars")
+    out = toxicity.toxicity_scores(docs.unionByName(unlabelled), labels).select("text", "toxicity").distinct()
+    assert out.groupBy("text").count().where("count > 1").count() == 0
