@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, others, slices, with_uid, written
+from .common import free_name, others, slices, written
 from .html_tree import BLOCK, Node, hash_subtrees, parse
 
 #: Elements, roles and class or id words of what is not main text.
@@ -110,10 +110,10 @@ def _blocks(node: Node, skip, out: list[list[str]]) -> None:
     while stack:
         node, i = stack.pop()
         if i == 0:
+            if node.tag in BLOCK:  # a deleted block still parts the text around it
+                out.append([])
             if skip(node):
                 continue
-            if node.tag in BLOCK:
-                out.append([])
         items = node.items
         while i < len(items):
             x = items[i]
@@ -192,13 +192,18 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hash_subtrees(root)
             bodies.append(root.hash - (1 << 64) if root.hash >> 63 else root.hash)
             hashes.append(candidates(root))
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("host"), pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["uid", "host", "body", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "body", "hashes"])
+
 
+def _texts(names: list[str], body: str, template: str, into: str, sites):
+    """``template`` has the page's host, or where ``sites`` is None the hashes of its host's template."""
 
-def _texts(names: list[str], body: str, template: str, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_host = sites.value if sites is not None else None
         for batch in slices(batches, body, 1 << 20):
-            texts = [main_text(h, set(t) if t else None) for h, t in zip(batch.column(body).to_pylist(), batch.column(template).to_pylist(), strict=True)]
+            known = batch.column(template).to_pylist()
+            known = [of_host.get(h) if of_host is not None else h and set(h) for h in known]
+            texts = [main_text(h, t) for h, t in zip(batch.column(body).to_pylist(), known, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, into])
 
     return run
@@ -223,21 +228,25 @@ def extract_main_text(
     pages: DataFrame, *, html: str = "html", url: str = "url", into: str = "main_text", least_pages: int = 5, least_share: float = 0.5, most_broadcast: int = 200_000
 ) -> DataFrame:
     """pages with their main text; a column of that name is replaced."""
-    stored, own = with_uid(pages, "pages")
-    source = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit(""))
-    rows = stored.select(F.col(own).alias("uid"), host_of(F.col(f"`{url}`")).alias("host"), source.alias("html"))
-    hashed = written(rows.mapInArrow(_hashes, "uid long, host string, body long, hashes array<long>"), "subtrees")
+    source, host = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")), host_of(F.col(f"`{url}`"))
+    hashed = written(pages.select(host.alias("host"), source.alias("html")).mapInArrow(_hashes, "host string, body long, hashes array<long>"), "subtrees")
     site = written(templates(hashed, least_pages, least_share), "templates")
-    on_page = hashed.select("uid", "host", F.explode("hashes").alias("hash")).withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(16)).cast("int"))
-    if site.count() <= most_broadcast:  # 16 bytes and a host name each
-        found = on_page.join(F.broadcast(site), ["host", "hash"])
-    else:  # a template hash of a large host is dealt over 16 keys
-        found = on_page.join(site.withColumn("salt", F.explode(F.array(*map(F.lit, range(16))))), ["host", "hash", "salt"])
-    found = found.groupBy("uid").agg(F.collect_list("hash").alias(free_name(stored, "__template")))  # a page's own subtrees at most
-    names, template = others(pages, into), found.columns[1]
-    body = free_name(stored, "__html")
-    joined = stored.join(found.withColumnRenamed("uid", own), own, "left").select(*(F.col(f"`{c}`") for c in names), source.alias(body), F.col(template))
-    return joined.mapInArrow(_texts(names, body, template, into), T.StructType([*(pages.schema[c] for c in names), T.StructField(into, T.StringType())]))
+    names = others(pages, into)
+    body, template = free_name(pages, "__html"), free_name(pages, "__template")
+    rows = pages.select(*(F.col(f"`{c}`") for c in names), source.alias(body), host.alias(template))
+    sites = None
+    if site.count() <= most_broadcast:  # 8 bytes each, and the host names
+        of_host: dict[str, set[int]] = {}
+        for r in site.toLocalIterator():
+            of_host.setdefault(r.host, set()).add(r.hash)
+        sites = pages.sparkSession.sparkContext.broadcast(of_host)
+    else:
+        # a host has few such hashes: each stands on the given share of its bodies. A large host is dealt over 32 keys
+        lists = site.groupBy("host").agg(F.collect_list("hash").alias("__hashes")).withColumn("__salt", F.explode(F.array(*map(F.lit, range(32)))))
+        salt = F.pmod(F.xxhash64(body), F.lit(32)).cast("int")
+        near = (F.col(template) == F.col("__site.host")) & (F.col("__site.__salt") == salt)
+        rows = rows.join(lists.alias("__site"), near, "left").select(*(F.col(f"`{c}`") for c in names), body, F.col("__site.__hashes").alias(template))
+    return rows.mapInArrow(_texts(names, body, template, into, sites), T.StructType([*(pages.schema[c] for c in names), T.StructField(into, T.StringType())]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
