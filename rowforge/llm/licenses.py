@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, mix, others, raw_bytes, slices, text_column
+from .common import free_name, hash_sample, mix, others, raw_bytes, slices, text_column
 from .license_templates import OTHER, TEMPLATES
 from .words import Words, grams, words_of
 
@@ -217,18 +217,22 @@ def _scanner(model, names: list[str], body: str, into: str, threshold: float, li
     return run
 
 
-def corpus_paragraphs(docs: DataFrame, rows: int = 500, longest: int = 2000) -> list[str]:
-    """Paragraphs of the documents of the smallest hashes, without those that share a notice's triples: examples of unknown."""
-    chosen = docs.where(F.octet_length("t") > 0).orderBy(F.xxhash64("t"), "t").select(F.substring("t", 1, longest).alias("t")).limit(rows)
+def corpus_paragraphs(docs: DataFrame, rows: int = 500, lines: int = 3000, longest: int = 2000) -> list[str]:
+    """Paragraphs that share no word triple with a notice: examples of unknown.
+
+    Of the documents with the ``rows`` smallest hashes, the ``lines`` paragraphs of the smallest hashes, none over ``longest``.
+    """
+    chosen = hash_sample(docs.where(F.octet_length("t") > 0), ["t"], rows)
+    found = chosen.select(F.explode(F.split("t", "\n")).alias("line")).where(F.length(F.trim("line")).between(1, longest)).distinct()
     known = frozenset().union(*(Model._triples(t) for notices in TEMPLATES.values() for t in notices))
-    lines = [line for r in chosen.collect() for line in r.t.split("\n")[:20] if line.strip()]
-    return [line for line in lines if not Model._triples(line) & known]
+    sample = [r.line for r in hash_sample(found, ["line"], lines).collect()]
+    return [line for line in sample if not Model._triples(line) & known]
 
 
 def license_hits(docs: DataFrame, *, text: str = "text", into: str = "licenses", threshold: float = 0.5, likeness: float = 0.5, sample_rows: int = 500) -> DataFrame:
     """docs with the licence paragraphs of each text; a column of that name is replaced.
 
-    ``sample_rows`` bounds the documents whose paragraphs join the training set; every paragraph of all documents is scanned.
+    ``sample_rows`` bounds the documents of which some paragraphs join the training set; every paragraph of all documents is scanned.
     """
     names, body = others(docs, into), free_name(docs, "__text")
     model = docs.sparkSession.sparkContext.broadcast(Model(corpus_paragraphs(docs.select(text_column(docs, text).alias("t")), sample_rows)))
