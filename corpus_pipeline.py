@@ -24,7 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.without_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    into = free_name(docs, "quality")
+    scored = quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), into=into)
+    return _columns(scored.where(F.col(into) >= 0.3), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .calibration import Isotonic
-from .common import UID, raw_bytes, slices, text_column, with_uid, written
+from .common import free_name, others, raw_bytes, slices, text_column, written
 from .labelled import fold, training_labels
 from .words import grams, words_of
 
@@ -100,11 +100,14 @@ def statistics(column: pa.Array) -> np.ndarray:
     )
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "t", 2 << 20):
-        x = statistics(batch.column("t"))
-        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * x.shape[1])
-        yield pa.RecordBatch.from_arrays([batch.column(UID), batch.column("fold"), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=[UID, "fold", "x"])
+def _statistics(names: list[str], body: str, into: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, body, 2 << 20):
+            x = statistics(batch.column(body))
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * x.shape[1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=[*names, into])
+
+    return run
 
 
 class Fourier:
@@ -184,7 +187,7 @@ def _held(models: list[list], cells: int):
 
 
 def fit(described: DataFrame, labels: DataFrame, *, features: int = 192, widths=(2.0, 4.0), penalties=(1e-3, 1e-1), cells: int = 2048, seed: int = 7) -> Model | None:
-    """A model from rows (uid, fold, x, doc_id) and labels (doc_id, label); None without labels of both classes."""
+    """A model from rows (doc_id, fold, x) and labels (doc_id, label); None without labels of both classes."""
     size = len(STATISTICS)
     spread = described.select(*[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(size)], *[F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(size)]).first()
     labelled = written(described.join(labels, "doc_id").select("fold", "x", "label"), "labelled")
@@ -214,37 +217,31 @@ def fit(described: DataFrame, labels: DataFrame, *, features: int = 192, widths=
     return Model(models[best][0], models[best][1][0], Isotonic(s_ / n_, y_ / n_, n_))
 
 
-def _scorer(model):
+def _scorer(model, names: list[str], x: str, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = model.value
         for batch in batches:
-            score = np.ones(batch.num_rows) if scores is None else scores(_matrix(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(UID), pa.array(score)], names=[UID, "score"])
+            score = np.ones(batch.num_rows) if scores is None else scores(_matrix(batch, x))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, into])
 
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", **options) -> tuple[DataFrame, DataFrame, str]:
-    """(uid, score) for each row of docs, the stored rows with their uid, and the uid's name there."""
-    stored, own = with_uid(docs, "documents")
-    rows = stored.select(F.col(own).alias(UID), fold(doc_id).alias("fold"), text_column(stored, text).alias("t"))
-    schema = T.StructType([T.StructField(UID, T.LongType()), T.StructField("fold", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    described = written(rows.mapInArrow(_statistics, schema), "statistics")
-    ids = stored.select(F.col(own).alias(UID), F.col(f"`{doc_id}`").alias("doc_id"))
-    model = fit(described.join(ids, UID), training_labels(labels, label), **options)
+def quality_scores(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", into: str = "quality", **options) -> DataFrame:
+    """docs with a score from 0 to 1; a column of its name is replaced.
+
+    The statistics are written beside the documents' columns, so that neither texts nor scores are ever joined.
+    """
+    names, body, x = others(docs, into), free_name(docs, "__text"), free_name(docs, "__statistics")
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(x, T.ArrayType(T.DoubleType()))])
+    described = written(docs.withColumn(body, text_column(docs, text)).mapInArrow(_statistics(names, body, x), schema), "statistics")
+    model = fit(described.select(F.col(f"`{doc_id}`").alias("doc_id"), fold(doc_id).alias("fold"), F.col(x).alias("x")), training_labels(labels, label), **options)
     model = docs.sparkSession.sparkContext.broadcast(model)
-    scored = described.select(UID, "x").mapInArrow(_scorer(model), T.StructType([T.StructField(UID, T.LongType()), T.StructField("score", T.DoubleType())]))
-    return scored.withColumnRenamed(UID, own), stored, own
+    return described.mapInArrow(_scorer(model, names, x, into), T.StructType([*schema.fields[:-1], T.StructField(into, T.DoubleType())]))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored, stored, own = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = stored.select(own, "doc_id").join(scored, own)
-    return rows.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
-
-
-def without_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose score reaches the threshold."""
-    scored, stored, own = quality_scores(docs, labels)
-    return stored.join(scored.where(F.col("score") >= threshold).select(own), own, "left_semi").drop(own)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    score = F.col("quality")
+    return quality_scores(docs, labels).select("doc_id", (fold() == 0).alias("held_out"), score.alias("score"), F.when(score >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -66,7 +66,7 @@ def test_token_features():
     names = toxicity.FEATURES
     rows = toxicity.features(["you are an 1d10t and a M.o.R.o.N", "a grumble, Blarg! blarg", "", None, "THE END", "fine words here"], tokens)
     row = lambda i: dict(zip(names, rows[i], strict=True))
-    assert row(0)["insults"] == 2 and row(0)["unmasked"] == 2 and row(0)["near_second_person"] == 2
+    assert row(0)["insults"] == 2 and row(0)["unmasked"] == 2 and row(0)["near_second_person"] == 1
     assert row(1)["learned"] == 2 and row(1)["beginnings"] == 1 and row(1)["exclamations"] == pytest.approx(1 / 4)
     assert not rows[2].any() and not rows[3].any() and row(4)["capital_tokens"] == 1 and row(5)["insults"] == 0
     few = toxicity.Tokens({"=blarg": 3.0, "^grum": 2.0}, most=1)  # tokens beyond the table's size count alike
@@ -89,12 +89,9 @@ def test_edges(spark, edge_docs, no_docs, kind):
     labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(1, 9)] + [(1, None, 1), (None, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
 
     def scores(docs, labels):
-        if kind == "toxicity":
-            out = toxicity.toxicity_scores(docs, labels, into="Score")
-            assert sorted(out.columns) == sorted([*(c for c in docs.columns if c != "score"), "Score"])
-            return [(r.text, r.Score) for r in out.collect()]
-        scored, stored, own = quality.quality_scores(docs, labels)
-        return [(r.text, r.s) for r in stored.join(scored.select(own, F.col("score").alias("s")), own).collect()]
+        out = (toxicity.toxicity_scores if kind == "toxicity" else quality.quality_scores)(docs, labels, into="Score")
+        assert sorted(out.columns) == sorted([*(c for c in docs.columns if c != "score"), "Score"])
+        return [(r.text, r.Score) for r in out.collect()]
 
     found = scores(edge_docs, labels)
     assert len(found) == edge_docs.count() and all(0 <= s <= 1 for _, s in found)

@@ -29,8 +29,7 @@ def test_stages(spark, sf_dir, tmp_path):
         if name == "toxicity":
             expected = {r.doc_id for r in toxicity.toxicity_scores(docs, labels).where("toxicity < 0.5").collect()}
         elif name == "quality":
-            scored, stored, own = quality.quality_scores(docs, labels)
-            expected = {r.doc_id for r in stored.join(scored.where("score >= 0.3"), own).collect()}
+            expected = {r.doc_id for r in quality.quality_scores(docs, labels).where("quality >= 0.3").collect()}
         elif name == "near_duplicates":
             expected = {r.doc_id for r in near_duplicates.near_duplicate_classes(docs)[0].where("kept").collect()}
             assert len({before[k] for k in kept}) == len(kept)
