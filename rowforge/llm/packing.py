@@ -36,19 +36,22 @@ def _cut(path: str, window: int, end: int, wide: bool):
     dtype = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab, windows = vocabulary(path), TaskContext.get().partitionId() << 33
         for batch in slices(batches, "t"):
             ids = vocab.arrays(batch.column("t").to_pylist(), end)
             body = [len(x) // window * window for x in ids]
+            first = windows + np.cumsum([0, *body]) // window  # written with the ids: numbers of whole windows
+            windows = int(first[-1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     batch.column("uid"),
                     pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array(first[:-1], pa.int64()),
                     pa.array([x[:b].astype(dtype).tobytes() for x, b in zip(ids, body, strict=True)], pa.binary()),
                     pa.array([x[b:].astype(dtype).tobytes() for x, b in zip(ids, body, strict=True)], pa.binary()),
                 ],
-                names=["id", "uid", "doc_tokens", "body", "rest"],
+                names=["id", "uid", "doc_tokens", "first", "body", "rest"],
             )
 
     return run
@@ -181,12 +184,11 @@ def _fill(shard: Shard, left: np.ndarray, window: int, least: int, look: int) ->
 
 def _pack(model, dtype: np.dtype, size: int, window: int, shard_rests: int, least: int, query_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bm25, part, made = model.value, TaskContext.get().partitionId(), 0
-        kind = None
-        pool: list[list] = []  # [id, doc_tokens, start, ids]
+        bm25, kind = model.value, None
+        pool: list[list] = []  # [id, doc_tokens, start, ids, uid]
 
         def shard(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal pool, made
+            nonlocal pool
             if not pool:
                 return
             index = Shard([p[3] for p in pool], bm25, size, query_terms)
@@ -196,25 +198,25 @@ def _pack(model, dtype: np.dtype, size: int, window: int, shard_rests: int, leas
             carried: list[list] = []
             for taken in _fill(index, left, window, least, 64):
                 if not last and sum(n for _, n in taken) < window - least:  # only where no rest is left
-                    carried = [[*pool[i][:2], pool[i][2] + int(used[i]), pool[i][3][used[i] : used[i] + n]] for i, n in taken]
+                    carried = [[*pool[i][:2], pool[i][2] + int(used[i]), pool[i][3][used[i] : used[i] + n], pool[i][4]] for i, n in taken]
                     continue
-                offset = 0
+                # a rest is a seed once at most, so that its uid names the window
+                sequence, offset = pool[taken[0][0]][4] << 1 | 1, 0
                 for i, n in taken:
-                    doc, tokens, start, ids = pool[i]
-                    rows.append((doc, start + int(used[i]), n, tokens, (((part << 32) | made) << 1) | 1, offset, ids[used[i] : used[i] + n].astype("<u4").tobytes()))
+                    doc, tokens, start, ids, _ = pool[i]
+                    rows.append((doc, start + int(used[i]), n, tokens, sequence, offset, ids[used[i] : used[i] + n].astype("<u4").tobytes()))
                     used[i] += n
                     offset += n
-                made += 1
             pool = carried
             if rows:
                 yield _pieces(kind, rows)
 
         for batch in batches:
             kind = batch.schema.field("id").type
-            columns = [batch.column(c).to_pylist() for c in ("id", "doc_tokens", "rest")]
-            for doc, tokens, rest in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("id", "doc_tokens", "rest", "uid")]
+            for doc, tokens, rest, uid in zip(*columns, strict=True):
                 ids = np.frombuffer(rest, dtype)
-                pool.append([doc, tokens, tokens - len(ids), ids])
+                pool.append([doc, tokens, tokens - len(ids), ids, uid])
                 if len(pool) >= shard_rests:
                     yield from shard(False)
         yield from shard(True)
@@ -231,14 +233,12 @@ def _windows(dtype: np.dtype, window: int):
     """The whole windows of the documents, each a sequence of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "body"):
             rows = []
-            for doc, tokens, body in zip(*(batch.column(c).to_pylist() for c in ("id", "doc_tokens", "body")), strict=True):
+            for doc, tokens, first, body in zip(*(batch.column(c).to_pylist() for c in ("id", "doc_tokens", "first", "body")), strict=True):
                 ids = np.frombuffer(body, dtype).astype("<u4")
-                for start in range(0, len(ids), window):
-                    rows.append((doc, start, window, tokens, ((part << 32) | made) << 1, 0, ids[start : start + window].tobytes()))
-                    made += 1
+                for k, start in enumerate(range(0, len(ids), window)):
+                    rows.append((doc, start, window, tokens, (first + k) << 1, 0, ids[start : start + window].tobytes()))
             if rows:
                 yield _pieces(batch.schema.field("id").type, rows)
 
@@ -263,7 +263,7 @@ def pack(
     head = [T.StructField("id", kind), T.StructField("uid", T.LongType()), T.StructField("doc_tokens", T.LongType())]
     rest = T.StructField("rest", T.BinaryType())
     cut = docs.select(F.col(f"`{doc_id}`").alias("id"), F.monotonically_increasing_id().alias("uid"), text_column(docs, text).alias("t"))
-    cut = cut.mapInArrow(_cut(path, window, end, wide), T.StructType([*head, T.StructField("body", T.BinaryType()), rest]))
+    cut = cut.mapInArrow(_cut(path, window, end, wide), T.StructType([*head, T.StructField("first", T.LongType()), T.StructField("body", T.BinaryType()), rest]))
     cut = written(cut, "tokens")
     rests = cut.where(F.octet_length("rest") > 0).select("id", "uid", "doc_tokens", "rest")
     counts = rests.select("rest").mapInArrow(_frequencies(dtype, size), "term long, n long, tokens long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
@@ -280,7 +280,7 @@ def pack(
     keyed = keyed.repartitionByRange(tasks, "one", "two", "uid").sortWithinPartitions("one", "two", "uid")
     out = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), T.StructField("ids", T.BinaryType())])
     packed = keyed.mapInArrow(_pack(model, dtype, size, window, shard_rests, least_cut, query_terms), out)
-    whole = cut.where(F.octet_length("body") > 0).select("id", "doc_tokens", "body").mapInArrow(_windows(dtype, window), out)
+    whole = cut.where(F.octet_length("body") > 0).select("id", "doc_tokens", "first", "body").mapInArrow(_windows(dtype, window), out)
     return whole.union(packed)
 
 
