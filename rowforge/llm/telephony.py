@@ -108,7 +108,7 @@ def read_wave(media: bytes) -> tuple[int, int, bytes]:
 
 _TABLES = {MULAW: mulaw_table(), ALAW: alaw_table()}
 #: Half-band low-pass, a windowed sinc: the values between two samples from eight to each side.
-_HALF = np.sinc(np.arange(-7.5, 8)) * np.hamming(18)[1:-1]
+_HALF = np.sinc(np.arange(-7.5, 8)) * np.kaiser(16, 5)
 _HALF = (_HALF / _HALF.sum()).astype(np.float32)
 
 
