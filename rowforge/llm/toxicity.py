@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .boosting import BoostedTrees
 from .calibration import Isotonic
-from .common import free_name, others, slices, text_column, written
+from .common import free_name, hash_sample, others, slices, text_column, written
 from .labelled import fold, training_labels
 
 #: Common English insults, and second-person words of English, German, French and Spanish.
@@ -209,7 +209,7 @@ def _features_by_half(lexicons):
 def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000) -> Model | None:
     """A model from rows (doc_id, t) and labels (doc_id, label), or None without labels of both classes."""
     spark = docs.sparkSession
-    chosen = labels.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(fit_rows)
+    chosen = hash_sample(labels, ["doc_id"], fit_rows)
     # at most fit_rows labels, so small enough to broadcast
     sample = docs.join(F.broadcast(chosen), "doc_id").select(fold().alias("fold"), "label", "t").withColumn("half", F.when(F.col("fold") <= 2, 0).otherwise(1))
     sample = written(sample, "sample")

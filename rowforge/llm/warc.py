@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, slices, written
+from .common import hash_sample, scratch_path, slices, written
 
 #: Fixed value: the profile of revisits with an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -101,6 +101,15 @@ def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return fs, path
 
 
+def _rename(fs: pa.fs.FileSystem, temporary: str, name: str) -> None:
+    """Where a rename doesn't replace, what an earlier attempt wrote, the same bytes, is taken away first."""
+    try:
+        fs.move(temporary, name)
+    except OSError:
+        fs.delete_file(name)
+        fs.move(temporary, name)
+
+
 class _Files:
     """The files of one shard, one after another."""
 
@@ -126,7 +135,7 @@ class _Files:
 
     def close(self) -> dict:
         self.out.close()
-        self.fs.move(f"{self.path}/.{self.name}.{self.token}", f"{self.path}/{self.name}")
+        _rename(self.fs, f"{self.path}/.{self.name}.{self.token}", f"{self.path}/{self.name}")
         self.out, self.number = None, self.number + 1
         return {"file": self.name, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()}
 
@@ -189,7 +198,8 @@ def write_warc(
     shards = max(1, min(sample // 16, math.ceil(total / shard_bytes)))
     chosen = []
     if shards > 1:
-        rows = slim.orderBy(F.xxhash64("sort_url", "sort_page", "digest"), "sort_url", "sort_page", "digest").limit(min(sample, 256 * shards)).select("sort_url", "sort_page", "digest")
+        names = ["sort_url", "sort_page", "digest"]
+        rows = hash_sample(slim.select(*names), names, min(sample, 256 * shards))
         chosen = sorted(tuple(r) for r in rows.collect())
     bounds = spark.sparkContext.broadcast([chosen[i * len(chosen) // shards] for i in range(1, shards)] if chosen else [])
 
@@ -214,7 +224,7 @@ def write_warc(
     manifest = json.dumps({"format": "WARC/1.1", "files": sorted((r.asDict() for r in listed), key=lambda r: r["file"])}, indent=1)
     with fs.open_output_stream(f"{path}/.{MANIFEST}") as out:
         out.write(manifest.encode())
-    fs.move(f"{path}/.{MANIFEST}", f"{path}/{MANIFEST}")
+    _rename(fs, f"{path}/.{MANIFEST}", f"{path}/{MANIFEST}")
     return uri
 
 
