@@ -219,7 +219,7 @@ def write_warc(
     notes = notes.select("sort_url", "sort_page", "digest", F.lit(0).alias("role"), empty.alias("page"), empty.alias("url"), F.lit(None).cast("binary").alias("payload"), "refers", "first")
     records = base.select(*keys, F.lit(1).alias("role"), F.col("page_id").cast("string").alias("page"), "url", "payload", empty.alias("refers"), F.lit(None).cast("boolean").alias("first"))
     rows = records.union(notes).withColumn("shard", shard_of("sort_url", "sort_page", "digest"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "sort_url", "sort_page", "digest", "role")
+    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "sort_url", "sort_page", "digest", "role")
     listed = rows.mapInArrow(_writer(uri, file_bytes), "file string, records long, bytes long, sha256 string").collect()  # a row a file
     manifest = json.dumps({"format": "WARC/1.1", "files": sorted((r.asDict() for r in listed), key=lambda r: r["file"])}, indent=1)
     with fs.open_output_stream(f"{path}/.{MANIFEST}") as out:
