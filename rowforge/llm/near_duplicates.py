@@ -210,7 +210,7 @@ def _compare_blocks(threshold: float):
     return run
 
 
-def _across(mixed: DataFrame, texts: DataFrame, threshold: float, block: int = 256, share: int = 4096) -> DataFrame:
+def _across(mixed: DataFrame, texts: DataFrame, threshold: float, block: int = 256, share: int = 512) -> DataFrame:
     """Links between members of one bucket that stand in different classes, from rows (key, uid, root).
 
     All members of a bucket but those of its largest class are outsiders; every pair to be tested has one. Outsiders are cut
@@ -278,8 +278,8 @@ def near_duplicate_classes(docs: DataFrame, *, text: str = "text", doc_id: str =
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs with one of each class left."""
     classes, stored, own = near_duplicate_classes(docs, **options)
-    kept = classes.where("kept").select(F.col("uid").alias(own))
-    return stored.join(kept, own, "left_semi").drop(own)
+    gone = classes.where("NOT kept").select(F.col("uid").alias(own))  # the smaller side as a rule
+    return stored.join(gone, own, "left_anti").drop(own)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
