@@ -71,6 +71,11 @@ def _terms(column: pa.Array, dtype: np.dtype, size: int) -> tuple[np.ndarray, np
     return key[begin] // size, key[begin] % size, times, length
 
 
+def _heaviest_first(row: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The order by row and falling weight, of entries in order of row and term; equal weights keep it. Weights are below 512."""
+    return np.argsort(row * 1024.0 - weight, kind="stable")
+
+
 def _frequencies(dtype: np.dtype, size: int):
     """The document frequencies of a task's rests, and under the term -1 their number and their tokens."""
 
@@ -108,7 +113,7 @@ def _keyed(model, dtype: np.dtype, size: int):
         for batch in slices(batches, "rest"):
             row, term, times, length = _terms(batch.column("rest"), dtype, size)
             weight = bm25.weigh(term, times, length[row])
-            order = np.lexsort((term, -weight, row))
+            order = _heaviest_first(row, weight)
             row, term = row[order], term[order]
             first = np.searchsorted(row, np.arange(batch.num_rows))
             n = np.bincount(row, minlength=batch.num_rows)
@@ -131,7 +136,7 @@ class Shard:
         times = np.diff(np.append(begin, len(key)))
         row, term = key[begin] // size, key[begin] % size
         weight = bm25.weigh(term, times, length[row]).astype(np.float32)
-        heavy = np.lexsort((term, -weight, row))
+        heavy = _heaviest_first(row, weight)
         self.query = [term[heavy[a : min(b, a + query_terms)]] for a, b in zip(*(np.searchsorted(row, np.arange(len(ids)) + i) for i in (0, 1)), strict=True)]
         order = np.argsort(term, kind="stable")
         self.terms, self.begin = np.unique(term[order], return_index=True)
