@@ -173,12 +173,14 @@ def _weighted(digits: Column, n: int, weight) -> Column:
 
 
 def isbn(error: str | None = None) -> Check:
-    def test(v: Column) -> Column:
-        digits = _stripped(v)
+    def sums(digits: Column) -> Column:
         ten = F.when(digits.rlike(r"^[0-9]{9}[0-9X]\z"), _weighted(digits, 10, lambda i: 10 - i) % 11 == 0)
         thirteen = F.when(digits.rlike(r"^[0-9]{13}\z"), _weighted(digits, 13, lambda i: 3 if i % 2 else 1) % 10 == 0)
         return F.coalesce(ten, thirteen, F.lit(False))
 
+    def test(v: Column) -> Column:  # within the lambda the stripped text is a variable: it is computed once
+        return F.get(F.transform(F.array(_stripped(v)), sums), F.lit(0))
+
     return on_strings("isbn", "must be a valid ISBN", test, error)
 
 
