@@ -2,8 +2,9 @@
 
 Every page is parsed into elements. The subtrees of its structural elements are hashed (tag, class, id and everything within);
 Spark counts on how many different page bodies of a host each hash stands, exact copies of a page counting once, and subtrees
-that recur on a large share of a host's bodies are the site's template and are deleted. What no page shares with another, such
-as an advert of its own text, goes by what it is: elements for navigation, headers, footers, sidebars, forms and scripts, and
+that recur on many of a host's bodies are the site's template and are deleted, so that the blocks of one section, language or
+layout and rotating ones go too; of a large host's bodies it must be a thousandth, so that what a few of very many pages share
+by chance stays. What no page shares with another, such as an advert of its own text, goes by what it is: elements for navigation, headers, footers, sidebars, forms and scripts, and
 elements whose role, class or id says menu, advert, notice, comments and the like. If an article or main element is left,
 the text is taken from there, otherwise from the rest of the body.
 
@@ -186,17 +187,17 @@ def _skipped(node: Node, top: Node, skip) -> bool:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "html", 1 << 20):
-        bodies, hashes = [], []
+        bodies, hashes, names = [], [], [c for c in batch.schema.names if c != "html"]
         for html in batch.column("html").to_pylist():
             root = parse(html)
             hash_subtrees(root)
             bodies.append(root.hash - (1 << 64) if root.hash >> 63 else root.hash)
             hashes.append(candidates(root))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "body", "hashes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=[*names, "body", "hashes"])
 
 
 def _texts(names: list[str], body: str, template: str, into: str, sites):
-    """``template`` has the page's host, or where ``sites`` is None the hashes of its host's template."""
+    """``template`` has the page's host, or where ``sites`` is None the hashes of its host's template that stand on the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_host = sites.value if sites is not None else None
@@ -225,11 +226,13 @@ def templates(hashed: DataFrame, least_pages: int, least_share: float) -> DataFr
 
 
 def extract_main_text(
-    pages: DataFrame, *, html: str = "html", url: str = "url", into: str = "main_text", least_pages: int = 5, least_share: float = 0.5, most_broadcast: int = 200_000
+    pages: DataFrame, *, html: str = "html", url: str = "url", into: str = "main_text", least_pages: int = 5, least_share: float = 0.001, most_broadcast: int = 200_000
 ) -> DataFrame:
     """pages with their main text; a column of that name is replaced."""
     source, host = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")), host_of(F.col(f"`{url}`"))
-    hashed = written(pages.select(host.alias("host"), source.alias("html")).mapInArrow(_hashes, "host string, body long, hashes array<long>"), "subtrees")
+    page = F.xxhash64(source)
+    hashed = pages.select(host.alias("host"), page.alias("page"), source.alias("html")).mapInArrow(_hashes, "host string, page long, body long, hashes array<long>")
+    hashed = written(hashed, "subtrees")
     site = written(templates(hashed, least_pages, least_share), "templates")
     names = others(pages, into)
     body, template = free_name(pages, "__html"), free_name(pages, "__template")
@@ -241,10 +244,11 @@ def extract_main_text(
             of_host.setdefault(r.host, set()).add(r.hash)
         sites = pages.sparkSession.sparkContext.broadcast(of_host)
     else:
-        # a host has few such hashes: each stands on the given share of its bodies. A large host is dealt over 32 keys
-        lists = site.groupBy("host").agg(F.collect_list("hash").alias("__hashes")).withColumn("__salt", F.explode(F.array(*map(F.lit, range(32)))))
-        salt = F.pmod(F.xxhash64(body), F.lit(32)).cast("int")
-        near = (F.col(template) == F.col("__site.host")) & (F.col("__site.__salt") == salt)
+        # a host can have many templates, a page has few of them: it gets those that stand on it. A hash is dealt over 32 keys
+        dealt = site.withColumn("salt", F.explode(F.array(*map(F.lit, range(32)))))
+        found = hashed.select("host", "page", F.explode("hashes").alias("hash")).distinct().withColumn("salt", F.pmod("page", F.lit(32)).cast("int"))
+        lists = found.join(dealt, ["host", "hash", "salt"]).groupBy("host", "page").agg(F.collect_list("hash").alias("__hashes"))
+        near = (F.col(template) == F.col("__site.host")) & (F.xxhash64(body) == F.col("__site.page"))
         rows = rows.join(lists.alias("__site"), near, "left").select(*(F.col(f"`{c}`") for c in names), body, F.col("__site.__hashes").alias(template))
     return rows.mapInArrow(_texts(names, body, template, into, sites), T.StructType([*(pages.schema[c] for c in names), T.StructField(into, T.StringType())]))
 

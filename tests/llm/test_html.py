@@ -1,9 +1,10 @@
+import inspect
 import re
 from html import unescape
 
 import pytest
 
-from rowforge.llm.html_text import extract_main_text, host_of, main_text, op5
+from rowforge.llm.html_text import extract_main_text, host_of, main_text, op5, templates
 from rowforge.llm.html_tree import hash_subtrees, parse
 
 CASES = [
@@ -65,6 +66,27 @@ def test_template_is_removed(spark):
     assert got[203] == "All the best from our team in town\n\nnone 3"
 
 
+@pytest.mark.parametrize("most_broadcast", [200_000, -1])
+def test_blocks_of_a_part_of_a_host_are_template(spark, most_broadcast):
+    """Three layouts on one host, a third of its pages each, and a block that rotates; no name tells what they are."""
+    layouts = ["<div class=q1><p>Town hall hours</p></div>{}", "<section class=q2>{}<p>Horaires de la mairie</p></section>", "{}<ul class=q3><li>Rathaus</li></ul>"]
+    rows = []
+    for i in range(90):
+        story, block = f"<div class=x><p>Story number {i}</p></div>", f"<div class=y><p>Offer {i // 3 % 10}</p></div>"
+        layout = layouts[i % 3].format("" if i % 3 == 1 else story) + (story if i % 3 == 1 else "")
+        rows.append((i, f"https://a.example/{i}", f"<body>{layout}{block}</body>"))
+    got = {r.page_id: r.main_text for r in extract_main_text(site(spark, rows), most_broadcast=most_broadcast).collect()}
+    assert got == {i: f"Story number {i}" for i in range(90)}
+
+
+def test_few_of_very_many_pages_are_no_template(spark):
+    rows = [("a.example", i, [i, *([-1] if i < 5 else []), *([-2] if i < 40 else [])]) for i in range(20_000)]
+    rows += [("b.example", i, [-1]) for i in range(5)]
+    hashed = spark.createDataFrame(rows, "host string, body long, hashes array<long>")
+    share = inspect.signature(extract_main_text).parameters["least_share"].default
+    assert sorted(map(tuple, templates(hashed, 5, share).collect())) == [("a.example", -2), ("b.example", -1)]
+
+
 def test_copies_and_articles_are_no_template(spark):
     page = "<body><div><p>The same page everywhere</p></div></body>"
     rows = [(i, f"https://a.example/{i}", page) for i in range(20)]
