@@ -4,8 +4,8 @@ Documents become token ids with an end id behind them. Whole windows are cut off
 than a window, is what has to be packed. Rests are ordered by their two heaviest terms, so that lexically close ones stand
 together, and cut into shards of a bounded number of rests. Each shard has a BM25 inverted index over its rests (terms are
 token ids; document frequencies and the mean length are counted over the whole corpus). The first unused rest is a seed; the
-index returns the unused neighbours of its heaviest terms, which greedily fill the window; what still lacks is cut off the best
-neighbour left, whose remainder stays unused. A window that a shard can't fill goes on to the next shard of the task, so that
+index scores the unused rests by all terms of the seed, and the best greedily fill the window; what still lacks is cut off the
+best neighbour left, whose remainder stays unused. A window that a shard can't fill goes on to the next shard of the task, so that
 only the last window of a task is padded.
 
 Nulls are empty texts (one piece: the end id). Ties in retrieval go to the earlier rest. Repeated rows are packed as often as
@@ -30,6 +30,8 @@ from .tokenization import vocabulary
 
 WINDOW, END = 1024, 0
 _NONE = -1
+#: A term of more than one in so many rests of a shard is common.
+COMMON = 16
 
 
 def _cut(path: str, window: int, end: int, wide: bool):
@@ -126,9 +128,9 @@ def _keyed(model, dtype: np.dtype, size: int):
 
 
 class Shard:
-    """An inverted index over the rests of one shard."""
+    """An inverted index over the rests of one shard; a query has all terms of its rest, or the ``query_terms`` heaviest."""
 
-    def __init__(self, ids: list[np.ndarray], bm25: Bm25, size: int, query_terms: int):
+    def __init__(self, ids: list[np.ndarray], bm25: Bm25, size: int, query_terms: int | None = None):
         length = np.array([len(x) for x in ids], np.int64)
         key = np.concatenate(ids).astype(np.int64) + np.repeat(np.arange(len(ids)), length) * size
         key.sort()
@@ -136,17 +138,31 @@ class Shard:
         times = np.diff(np.append(begin, len(key)))
         row, term = key[begin] // size, key[begin] % size
         weight = bm25.weigh(term, times, length[row]).astype(np.float32)
-        heavy = _heaviest_first(row, weight)
-        self.query = [term[heavy[a : min(b, a + query_terms)]] for a, b in zip(*(np.searchsorted(row, np.arange(len(ids)) + i) for i in (0, 1)), strict=True)]
+        heavy = np.arange(len(row)) if query_terms is None else _heaviest_first(row, weight)
         order = np.argsort(term, kind="stable")
-        self.terms, self.begin = np.unique(term[order], return_index=True)
-        self.end = np.append(self.begin[1:], len(order))
         self.row, self.weight, self.n = row[order], weight[order], len(ids)
+        terms, self.begin = np.unique(term[order], return_index=True)
+        self.end = np.append(self.begin[1:], len(order))
+        at = np.searchsorted(terms, term[heavy])
+        most = size if query_terms is None else query_terms
+        self.query = [at[a : min(b, a + most)] for a, b in zip(*(np.searchsorted(row, np.arange(len(ids)) + i) for i in (0, 1)), strict=True)]
+        # terms of many rests have a weight for each rest, so that their lists are added whole
+        common = np.flatnonzero((self.end - self.begin) * COMMON > self.n)
+        self.place = np.full(len(terms), _NONE)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        for i, (a, b) in enumerate(zip(self.begin[common].tolist(), self.end[common].tolist(), strict=True)):
+            self.dense[i, self.row[a:b]] = self.weight[a:b]
 
     def scores(self, seed: int) -> np.ndarray:
-        at = np.searchsorted(self.terms, self.query[seed])
-        lists = [slice(a, b) for a, b in zip(self.begin[at].tolist(), self.end[at].tolist(), strict=True)]
-        return np.bincount(np.concatenate([self.row[s] for s in lists]), np.concatenate([self.weight[s] for s in lists]), self.n)
+        at = self.query[seed]
+        place = self.place[at]
+        rare = at[place < 0]
+        out = self.dense[place[place >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        if len(rare):
+            lists = [slice(a, b) for a, b in zip(self.begin[rare].tolist(), self.end[rare].tolist(), strict=True)]
+            out += np.bincount(np.concatenate([self.row[s] for s in lists]), np.concatenate([self.weight[s] for s in lists]), self.n)
+        return out
 
 
 def _fill(shard: Shard, left: np.ndarray, window: int, least: int, look: int) -> Iterator[list[tuple[int, int]]]:
@@ -187,7 +203,7 @@ def _fill(shard: Shard, left: np.ndarray, window: int, least: int, look: int) ->
         yield taken
 
 
-def _pack(model, dtype: np.dtype, size: int, window: int, shard_rests: int, least: int, query_terms: int):
+def _pack(model, dtype: np.dtype, size: int, window: int, shard_rests: int, least: int, query_terms: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bm25, kind = model.value, None
         pool: list[list] = []  # [id, doc_tokens, start, ids, uid]
@@ -252,12 +268,12 @@ def _windows(dtype: np.dtype, window: int):
 
 def pack(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path: str | None = None, window: int = WINDOW, end: int = END,
-    shard_rests: int = 2048, rests_per_task: int = 4096, most_tasks: int = 1 << 16, least_cut: int = 16, query_terms: int = 32,
+    shard_rests: int = 2048, rests_per_task: int = 4096, most_tasks: int = 1 << 16, least_cut: int = 16, query_terms: int | None = None,
 ) -> DataFrame:
     """The pieces of all documents: id, start, length, doc_tokens, sequence_id, offset and the token ids (uint32, little-endian).
 
     ``shard_rests`` bounds what an index holds; ``least_cut`` is the smallest piece that is cut off to fill a window; a seed
-    asks for its ``query_terms`` heaviest terms.
+    asks for all its terms, or for the ``query_terms`` heaviest.
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")

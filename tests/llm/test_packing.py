@@ -1,3 +1,4 @@
+import inspect
 import random
 import zlib
 
@@ -76,6 +77,22 @@ def test_index_scores_are_bm25():
         assert shard.scores(seed).argmax() == expected.argmax()
 
 
+def test_queries_have_all_terms():
+    """What ``pack`` asks by default is BM25 over all terms: the best ten are those of brute force."""
+    rng = np.random.default_rng(4)
+    ids = [rng.zipf(1.3, 300).clip(max=4000).astype(np.uint16) for _ in range(200)]
+    times = np.array([np.bincount(x, minlength=4001) for x in ids])
+    frequency, length = (times > 0).sum(axis=0), times.sum(axis=1)
+    model = Bm25(frequency, len(ids), length.mean())
+    weight = model.idf * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * length[:, None] / length.mean()))
+    shard = Shard(ids, model, 4001, inspect.signature(pack).parameters["query_terms"].default)
+    for seed in range(200):
+        expected = weight[:, times[seed] > 0].sum(axis=1)
+        got = shard.scores(seed)
+        assert np.allclose(got, expected, rtol=1e-4)
+        assert expected[np.argsort(-got)[:10]].min() >= np.sort(expected)[-10] * (1 - 1e-4)
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_rests": 16, "rests_per_task": 64}, {"window": 64, "least_cut": 4}])
 def test_pieces(spark, options):
     rng = random.Random(2)
