@@ -1,9 +1,10 @@
 """Lexical retrieval packing.
 
 Documents become token ids with an end id behind them. Whole windows are cut off the front; the rest of each document, less
-than a window, is what has to be packed. Rests are ordered by their two heaviest terms, so that lexically close ones stand
-together, and cut into shards of a bounded number of rests. Each shard has a BM25 inverted index over its rests (terms are
-token ids; document frequencies and the mean length are counted over the whole corpus). The first unused rest is a seed; the
+than a window, is what has to be packed. Rests are ordered by the two heaviest terms of their documents, so that lexically close ones stand
+together, and cut into shards of a bounded number of rests. Each shard has a BM25 inverted index over the documents of its
+rests, each with its whole text, windows cut off included (terms are token ids; document frequencies and the mean length are
+counted over the whole documents of the whole corpus). The first unused rest is a seed; the
 index scores the unused rests by all terms of the seed, and the best greedily fill the window; what still lacks is cut off the
 best neighbour left, whose remainder stays unused. A window that a shard can't fill goes on to the next shard of the task, so that
 only the last window of a task is padded.
@@ -59,9 +60,8 @@ def _cut(path: str, window: int, end: int, wide: bool):
     return run
 
 
-def _terms(column: pa.Array, dtype: np.dtype, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counted(rows: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, times) of the distinct terms of each row, ordered by row and term; and the rows' lengths."""
-    rows = [np.frombuffer(x, dtype) for x in column.to_pylist()]
     length = np.array([len(x) for x in rows], np.int64)
     if not length.sum():
         none = np.zeros(0, np.int64)
@@ -73,18 +73,22 @@ def _terms(column: pa.Array, dtype: np.dtype, size: int) -> tuple[np.ndarray, np
     return key[begin] // size, key[begin] % size, times, length
 
 
+def _terms(column: pa.Array, dtype: np.dtype, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return _counted([np.frombuffer(x, dtype) for x in column.to_pylist()], size)
+
+
 def _heaviest_first(row: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The order by row and falling weight, of entries in order of row and term; equal weights keep it. Weights are below 512."""
     return np.argsort(row * 1024.0 - weight, kind="stable")
 
 
 def _frequencies(dtype: np.dtype, size: int):
-    """The document frequencies of a task's rests, and under the term -1 their number and their tokens."""
+    """The document frequencies of a task's documents, and under the term -1 their number and their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows, tokens = np.zeros(size, np.int64), 0, 0
-        for batch in slices(batches, "rest"):
-            _, term, _, length = _terms(batch.column("rest"), dtype, size)
+        for batch in slices(batches, "whole"):
+            _, term, _, length = _terms(batch.column("whole"), dtype, size)
             total += np.bincount(term, minlength=size)
             rows, tokens = rows + len(length), tokens + int(length.sum())
         found = np.flatnonzero(total)
@@ -108,12 +112,14 @@ class Bm25:
 
 
 def _keyed(model, dtype: np.dtype, size: int):
-    """Adds the two heaviest terms of each rest."""
+    """Replaces the ids of the whole document by its distinct terms and their counts, and adds its two heaviest terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bm25 = model.value
-        for batch in slices(batches, "rest"):
-            row, term, times, length = _terms(batch.column("rest"), dtype, size)
+        for batch in slices(batches, "whole"):
+            row, term, times, length = _terms(batch.column("whole"), dtype, size)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            bags = [[x[a:b].astype(t).tobytes() for a, b in zip(ends, ends[1:], strict=False)] for x, t in ((term, dtype), (times, "<u4"))]
             weight = bm25.weigh(term, times, length[row])
             order = _heaviest_first(row, weight)
             row, term = row[order], term[order]
@@ -122,30 +128,36 @@ def _keyed(model, dtype: np.dtype, size: int):
             padded = np.append(term, [_NONE, _NONE])
             one = np.where(n > 0, padded[np.minimum(first, len(term))], _NONE)
             two = np.where(n > 1, padded[np.minimum(first + 1, len(term))], _NONE)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=[*batch.schema.names, "one", "two"])
+            kept = [c for c in batch.schema.names if c != "whole"]
+            columns = [*(batch.column(c) for c in kept), *(pa.array(x, pa.binary()) for x in bags), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "terms", "times", "one", "two"])
 
     return run
 
 
 class Shard:
-    """An inverted index over the rests of one shard; a query has all terms of its rest, or the ``query_terms`` heaviest."""
+    """An inverted index over the documents of one shard; a query has all terms of its document, or the ``query_terms`` heaviest."""
 
     def __init__(self, ids: list[np.ndarray], bm25: Bm25, size: int, query_terms: int | None = None):
-        length = np.array([len(x) for x in ids], np.int64)
-        key = np.concatenate(ids).astype(np.int64) + np.repeat(np.arange(len(ids)), length) * size
-        key.sort()
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        times = np.diff(np.append(begin, len(key)))
-        row, term = key[begin] // size, key[begin] % size
+        self._index(*_counted(ids, size), bm25, size, query_terms)
+
+    @classmethod
+    def of_terms(cls, terms: list[np.ndarray], times: list[np.ndarray], length: list[int], bm25: Bm25, size: int, query_terms: int | None = None) -> Shard:
+        """The index over documents whose distinct terms, in order, and their counts are known."""
+        shard, row = cls.__new__(cls), np.repeat(np.arange(len(terms)), [len(x) for x in terms])
+        shard._index(row, np.concatenate(terms).astype(np.int64), np.concatenate(times).astype(np.int64), np.array(length, np.int64), bm25, size, query_terms)
+        return shard
+
+    def _index(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, length: np.ndarray, bm25: Bm25, size: int, query_terms: int | None) -> None:
         weight = bm25.weigh(term, times, length[row]).astype(np.float32)
         heavy = np.arange(len(row)) if query_terms is None else _heaviest_first(row, weight)
         order = np.argsort(term, kind="stable")
-        self.row, self.weight, self.n = row[order], weight[order], len(ids)
+        self.row, self.weight, self.n = row[order], weight[order], len(length)
         terms, self.begin = np.unique(term[order], return_index=True)
         self.end = np.append(self.begin[1:], len(order))
         at = np.searchsorted(terms, term[heavy])
         most = size if query_terms is None else query_terms
-        self.query = [at[a : min(b, a + most)] for a, b in zip(*(np.searchsorted(row, np.arange(len(ids)) + i) for i in (0, 1)), strict=True)]
+        self.query = [at[a : min(b, a + most)] for a, b in zip(*(np.searchsorted(row, np.arange(len(length)) + i) for i in (0, 1)), strict=True)]
         # terms of many rests have a weight for each rest, so that their lists are added whole
         common = np.flatnonzero((self.end - self.begin) * COMMON > self.n)
         self.place = np.full(len(terms), _NONE)
@@ -206,25 +218,25 @@ def _fill(shard: Shard, left: np.ndarray, window: int, least: int, look: int) ->
 def _pack(model, dtype: np.dtype, size: int, window: int, shard_rests: int, least: int, query_terms: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bm25, kind = model.value, None
-        pool: list[list] = []  # [id, doc_tokens, start, ids, uid]
+        pool: list[list] = []  # [id, doc_tokens, start, ids, uid, terms, times]
 
         def shard(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal pool
             if not pool:
                 return
-            index = Shard([p[3] for p in pool], bm25, size, query_terms)
+            index = Shard.of_terms([p[5] for p in pool], [p[6] for p in pool], [p[1] for p in pool], bm25, size, query_terms)
             left = np.array([len(p[3]) for p in pool])
             used = np.zeros(len(pool), np.int64)
             rows: list[tuple] = []
             carried: list[list] = []
             for taken in _fill(index, left, window, least, 64):
                 if not last and sum(n for _, n in taken) < window - least:  # only where no rest is left
-                    carried = [[*pool[i][:2], pool[i][2] + int(used[i]), pool[i][3][used[i] : used[i] + n], pool[i][4]] for i, n in taken]
+                    carried = [[*pool[i][:2], pool[i][2] + int(used[i]), pool[i][3][used[i] : used[i] + n], *pool[i][4:]] for i, n in taken]
                     continue
                 # a rest is a seed once at most, so that its uid names the window
                 sequence, offset = pool[taken[0][0]][4] << 1 | 1, 0
                 for i, n in taken:
-                    doc, tokens, start, ids, _ = pool[i]
+                    doc, tokens, start, ids = pool[i][:4]
                     rows.append((doc, start + int(used[i]), n, tokens, sequence, offset, ids[used[i] : used[i] + n].astype("<u4").tobytes()))
                     used[i] += n
                     offset += n
@@ -234,10 +246,10 @@ def _pack(model, dtype: np.dtype, size: int, window: int, shard_rests: int, leas
 
         for batch in batches:
             kind = batch.schema.field("id").type
-            columns = [batch.column(c).to_pylist() for c in ("id", "doc_tokens", "rest", "uid")]
-            for doc, tokens, rest, uid in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("id", "doc_tokens", "rest", "uid", "terms", "times")]
+            for doc, tokens, rest, uid, terms, times in zip(*columns, strict=True):
                 ids = np.frombuffer(rest, dtype)
-                pool.append([doc, tokens, tokens - len(ids), ids, uid])
+                pool.append([doc, tokens, tokens - len(ids), ids, uid, np.frombuffer(terms, dtype), np.frombuffer(times, "<u4")])
                 if len(pool) >= shard_rests:
                     yield from shard(False)
         yield from shard(True)
@@ -286,8 +298,9 @@ def pack(
     cut = docs.select(F.col(f"`{doc_id}`").alias("id"), F.monotonically_increasing_id().alias("uid"), text_column(docs, text).alias("t"))
     cut = cut.mapInArrow(_cut(path, window, end, wide), T.StructType([*head, T.StructField("first", T.LongType()), T.StructField("body", T.BinaryType()), rest]))
     cut = written(cut, "tokens")
-    rests = cut.where(F.octet_length("rest") > 0).select("id", "uid", "doc_tokens", "rest")
-    counts = rests.select("rest").mapInArrow(_frequencies(dtype, size), "term long, n long, tokens long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    whole = F.concat("body", "rest").alias("whole")
+    rests = cut.where(F.octet_length("rest") > 0).select("id", "uid", "doc_tokens", "rest", whole)
+    counts = cut.select(whole).mapInArrow(_frequencies(dtype, size), "term long, n long, tokens long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
     frequency, rows, tokens = np.zeros(size), 0, 0
     for r in counts.collect():  # a row for each id of the vocabulary at most
         if r.term == _NONE:
@@ -295,14 +308,14 @@ def pack(
         else:
             frequency[r.term] = r.n
     model = spark.sparkContext.broadcast(Bm25(frequency, rows, tokens / max(rows, 1)))
-    keyed = rests.mapInArrow(_keyed(model, dtype, size), T.StructType([*head, rest, T.StructField("one", T.LongType()), T.StructField("two", T.LongType())]))
+    keyed = rests.mapInArrow(_keyed(model, dtype, size), T.StructType([*head, rest, T.StructField("terms", T.BinaryType()), T.StructField("times", T.BinaryType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType())]))
     keyed = written(keyed, "rests", compression="snappy")
     tasks = max(1, min(most_tasks, math.ceil(rows / rests_per_task)))
     keyed = keyed.repartitionByRange(tasks, "one", "two", "uid").sortWithinPartitions("one", "two", "uid")
     out = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), T.StructField("ids", T.BinaryType())])
     packed = keyed.mapInArrow(_pack(model, dtype, size, window, shard_rests, least_cut, query_terms), out)
-    whole = cut.where(F.octet_length("body") > 0).select("id", "doc_tokens", "first", "body").mapInArrow(_windows(dtype, window), out)
-    return whole.union(packed)
+    windows = cut.where(F.octet_length("body") > 0).select("id", "doc_tokens", "first", "body").mapInArrow(_windows(dtype, window), out)
+    return windows.union(packed)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -116,6 +116,24 @@ def test_similar_texts_meet(spark):
     assert np.mean([len(w) for w in windows.values()]) < 2
 
 
+def test_long_documents_are_retrieved_by_their_whole_text(spark):
+    """The rests of all documents are the same filler; only the windows cut off before them tell the two topics apart."""
+    rng = random.Random(5)
+    topics = [["river", "stone", "cloud", "metal"], ["paper", "glass", "horse", "table"]]
+    texts = {}
+    for i in range(40):
+        words = "".join(" " + rng.choice(topics[i % 2]) for _ in range(64))
+        texts[i] = words + " and" * 21
+    assert {len(ids_of(t)) // 64 for t in texts.values()} == {1}
+    rows = digest(pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2), window=64, least_cut=64)).collect()
+    check(rows, texts, 64)
+    windows = {}
+    for r in rows:
+        windows.setdefault(r.sequence_id, set()).add(r.doc_id)
+    shared = [{d % 2 for d in w} for w in windows.values() if len(w) > 1]
+    assert len(shared) >= 10 and sum(len(w) > 1 for w in shared) <= 2
+
+
 def test_edges(spark, edge_docs, no_docs, edge_rows):
     rows = digest(pack(edge_docs)).collect()
     total = sum(len(ids_of(r[1])) for r in edge_rows)
