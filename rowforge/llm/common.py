@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -17,15 +17,16 @@ UID = "__uid"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where the session names none, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
+
+    Without either it is an error: a folder of this machine's own would be lost on a cluster without a word.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return str(kept.get()).rstrip("/")
-        root = "file://" + tempfile.mkdtemp(prefix="rowforge-")
-        spark.sparkContext.setCheckpointDir(root)
-        return root
+        if not kept.isDefined():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = str(kept.get())
     return root.rstrip("/")
 
 
@@ -51,14 +52,31 @@ def drop_written(df: DataFrame) -> None:
 
 
 def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """At most ``rows`` rows, those of the smallest hashes of the keys: the same on any cluster and partitioning.
+    """One row for each of the ``rows`` distinct keys of the smallest hashes, or of all keys where there are fewer.
+
+    The same on any cluster and partitioning. A bound on the hash keeps what is sorted to about twice as many rows: it comes from
+    an estimate of the distinct keys and is widened until enough are found, so it never changes which keys are chosen.
+    """
+    key = F.xxhash64(*keys)
+    share = 2 * rows / max(1, df.agg(F.approx_count_distinct(key).alias("n")).first().n)
+    while True:
+        part = df if share >= 1 else df.where(key < -(1 << 63) + int(share * (1 << 64)))
+        part = part.dropDuplicates(keys)
+        if share >= 1 or part.count() >= rows:
+            return part.orderBy(key, *keys).limit(rows)
+        share *= 4
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, *, most: int = 8192) -> DataFrame:
+    """The inner join of rows with ``counted``, a written table of one row a key whose column n says how many rows have it.
 
-    Of a large table about twice as many are let through by a bound on another hash first, so that no task holds more.
+    Keys of at least a ``most``-th of all rows, so no more than ``most`` keys, are broadcast and their rows don't move; the
+    others are shuffled, and no task gets more than a ``most``-th of the rows by one key.
     """
-    n = df.count()
-    if n > 4 * rows:
-        df = df.where(F.pmod(F.xxhash64(F.lit(7), *keys), F.lit(1 << 40)) < int((1 << 40) * (2 * rows / n)))
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(rows)
+    least = max(16, math.ceil((counted.agg(F.sum(n)).first()[0] or 0) / most))
+    hot = counted.where(F.col(n) >= least)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counted.where(F.col(n) < least), keys)
+    return rows.join(F.broadcast(hot), keys).select(*cold.columns).union(cold)
 
 
 def free_name(df: DataFrame, name: str) -> str:

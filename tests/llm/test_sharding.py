@@ -1,9 +1,12 @@
+import math
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from rowforge.llm.sharding import communication_matrix, op4, shuffle_into_shards
+from rowforge.llm import sharding
+from rowforge.llm.sharding import communication_matrix, hypergeometric, op4, shuffle_into_shards
 
 
 def test_matrix_has_exact_margins():
@@ -22,6 +25,32 @@ def test_matrix_is_hypergeometric():
     assert abs(cells.mean() - mean) < 5 * np.sqrt(variance / n) and abs(cells.var() / variance - 1) < 0.15
 
 
+def test_margins_beyond_numpy():
+    rows = np.array([0, 1, 3_000_000_001, 6_000_000_000, 17, 999_999_999_999, 1_000_000_000])
+    m = communication_matrix(rows, 40, 3)
+    assert (m.sum(1) == rows).all() and m.sum(0).max() - m.sum(0).min() <= 1 and (m >= 0).all()
+    assert (communication_matrix(rows, 40, 3) == m).all()
+
+
+@pytest.mark.parametrize(("good", "bad", "sample"), [(5, 7, 4), (50, 30, 40), (1000, 39_000, 500), (3, 100, 100), (300, 200, 499), (0, 9, 4), (4, 0, 4)])
+def test_rejection_draws_have_the_probabilities_of_the_definition(monkeypatch, good, bad, sample):
+    monkeypatch.setattr(sharding, "NUMPY_ROWS", 0)
+    rng, n = np.random.default_rng(7), 6000
+    low, high = max(0, sample - bad), min(good, sample)
+    expected = [math.comb(good, k) * math.comb(bad, sample - k) / math.comb(good + bad, sample) * n for k in range(low, high + 1)]
+    seen = np.bincount([hypergeometric(rng, good, bad, sample) - low for _ in range(n)], minlength=len(expected))
+    often = [(a, b) for a, b in zip(seen, expected, strict=True) if b > 5]
+    assert sum((a - b) ** 2 / b for a, b in often) < len(often) + 5 * math.sqrt(2 * len(often))
+
+
+def test_large_draws_have_the_right_mean_and_variance():
+    rng, total = np.random.default_rng(8), 10**13
+    good, sample = total // 40, total // 2
+    draws = np.array([hypergeometric(rng, good, total - good, sample) for _ in range(1500)], float)
+    mean, variance = sample / 40, sample / 40 * (39 / 40) * 0.5
+    assert abs(draws.mean() - mean) < 4 * math.sqrt(variance / 1500) and abs(draws.var() / variance - 1) < 0.2
+
+
 def check(rows, shards):
     by = {}
     for s, slot in rows:
@@ -40,6 +69,8 @@ def test_shards(spark):
         check([(r["__shard"], r["__slot"]) for r in rows], 9)
         again = shuffle_into_shards(df, shards=9, bin_rows=bins)
         assert sorted(again.collect()) == sorted(rows)  # the seed decides
+    long = df.withColumn("text", F.repeat(F.lit("x"), 100))
+    check([(r["__shard"], r["__slot"]) for r in shuffle_into_shards(long, shards=9, bin_bytes=3000, most_partitions=2).collect()], 9)
     few = shuffle_into_shards(spark.range(3), shards=9).collect()
     check([(r["__shard"], r["__slot"]) for r in few], 9)
 
