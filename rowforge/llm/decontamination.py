@@ -1,16 +1,22 @@
 """Benchmark decontamination by winnowing.
 
 Of every ``w`` consecutive k-gram hashes the smallest is kept as a fingerprint, of documents and of benchmark items alike,
-so texts that share ``k + w - 1`` words share a fingerprint. Fingerprints that meet are extended along their diagonal to the
-whole run of equal words; runs of ``k + w - 1`` words or more are hits. With k = w = 7 that is every shared span of 13 words.
-Items of fewer than 13 words are one window each and are looked up by the hash of that many words.
-
-The benchmark is the query set: it is read in blocks of a bounded size, each sent to the executors in turn, so the
-documents never move between executors and no group of documents can be hot.
+so texts that share ``k + w - 1`` words share a fingerprint. Fingerprints of documents and of the benchmark are joined, and what
+meets is extended: the windows of ``k + w - 1`` words around a document's fingerprint are joined with the windows of the items.
+With k = w = 7 that finds every shared span of 13 words. Items of fewer than 13 words are one window each and are joined by the
+hash of that many words.
+
+Documents are written once with their words counted and with the fingerprints that may be the benchmark's, by a Bloom filter of
+at most ``filter_bytes``; only those are shuffled, and a filter too small for its benchmark lets more of them through but
+changes no result. Nothing that is sent to executors grows with the benchmark beyond that, and the driver sees the filter alone.
+Fingerprints and windows that are frequent among the documents are joined by broadcast, ordinary ones by shuffle, so neither a
+passage in a third of all documents nor one in a third of all items meets in one task, and no pair of a document and an item is
+made before a window of the item is known to occur.
 
 Nulls and empty texts have no words and are never contaminated. Repeated documents get equal results each; items that occur
-more than once under one id count once; items without words, and a benchmark without rows, hit nothing. All columns of the
-documents are kept; the result is one struct column, which replaces one of its name.
+more than once under one id count once; a null id counts as empty; items without words, and a benchmark without rows, hit nothing.
+A very long text is read whole, in segments of a bounded size. All columns of the documents are kept, whatever their names; the
+result is one struct column, which replaces one of its name.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, others, slices, text_column
-from .words import grams, words_of
+from .common import drop_written, free_name, join_counted, mix, others, slices, text_column, written
+from .words import Words, grams, segments_of, words_of
 
 RESULT = T.StructType(
     [
@@ -35,8 +41,8 @@ RESULT = T.StructType(
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     ]
 )
-_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(_SPAN))])
+_CANDIDATE = pa.struct([("print", pa.int64()), ("window", pa.int64()), ("size", pa.int32()), ("starts", pa.list_(pa.int64()))])
+_CANDIDATES = T.ArrayType(T.StructType([T.StructField("print", T.LongType()), T.StructField("window", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("starts", T.ArrayType(T.LongType()))]))
 
 
 def _rolling(x: np.ndarray, n: int, pick, fill) -> np.ndarray:
@@ -45,7 +51,7 @@ def _rolling(x: np.ndarray, n: int, pick, fill) -> np.ndarray:
     while width < n:
         step = min(width, n - width)
         moved = np.full(len(x), fill, x.dtype)
-        moved[: len(x) - step] = out[step:]
+        moved[: max(0, len(x) - step)] = out[step:]
         out, width = pick(out, moved), width + step
     return out
 
@@ -64,72 +70,138 @@ def fingerprints(hashes: np.ndarray, whole: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(whole & (back == hashes) & (hashes != 0))
 
 
-class Index:
-    """Fingerprints and short windows of one block of benchmark items."""
-
-    def __init__(self, ids: list[str], texts: list[str | None], k: int = 7, w: int = 7):
-        self.k, self.w, self.span = k, w, k + w - 1
-        words = words_of(pa.array(texts, pa.string()))
-        n = np.diff(words.first)
-        self.ids = ids
-        self.item_words = [words.hash[words.first[i] : words.first[i + 1]] for i in range(len(ids))]
-        h, whole = grams(words, k)
-        at = fingerprints(h, whole, w)
-        item = words.text_of()[at] if len(at) else np.zeros(0, np.int64)
-        order = np.argsort(h[at], kind="stable")
-        self.hash, self.item, self.at = h[at][order], item[order], (at - words.first[item])[order]
-        self.distinct, self.from_ = np.unique(self.hash, return_index=True)
-        self.to = np.append(self.from_[1:], len(self.hash))
-        self.short: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        for size in sorted({int(x) for x in n if 0 < x < self.span}):
-            g, _ = grams(words, size)
-            of = np.flatnonzero(n == size)
-            keys, inverse = np.unique(g[words.first[of]], return_inverse=True)
-            self.short[size] = keys, [of[inverse == i] for i in range(len(keys))]
-
-    def scan(self, words) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
-        """For each text with a hit: the hit spans of its words, and the items."""
-        out: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
-        text_of = words.text_of()
-
-        def add(text: int, begin: int, end: int, item: int) -> None:
-            spans, items = out.setdefault(text, ([], set()))
-            spans.append((begin, end))
-            items.add(item)
-
-        if len(self.distinct):
-            h, whole = grams(words, self.k)
-            at = fingerprints(h, whole, self.w)
-            found = np.minimum(np.searchsorted(self.distinct, h[at]), len(self.distinct) - 1)
-            hit = self.distinct[found] == h[at]
-            done: set[tuple[int, int, int]] = set()
-            for p, f in zip(at[hit].tolist(), found[hit].tolist(), strict=True):
-                text = int(text_of[p])
-                first, last = int(words.first[text]), int(words.first[text + 1])
-                for j in range(self.from_[f], self.to[f]):
-                    item, shift = int(self.item[j]), int(self.at[j]) - (p - first)
-                    if (text, item, shift) in done:
-                        continue
-                    done.add((text, item, shift))
-                    other = self.item_words[item]
-                    lo, hi = max(0, -shift), min(last - first, len(other) - shift)
-                    same = np.zeros(hi - lo + 2, np.int8)
-                    same[1:-1] = words.hash[first + lo : first + hi] == other[lo + shift : hi + shift]
-                    edge = np.diff(same)
-                    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                        if b - a >= self.span:
-                            add(text, lo + int(a), lo + int(b), item)
-        for size, (keys, items) in self.short.items():
-            g, whole = grams(words, size)
-            found = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            for p in np.flatnonzero((keys[found] == g) & whole).tolist():
-                text = int(text_of[p])
-                begin = p - int(words.first[text])
-                for item in items[found[p]].tolist():
-                    add(text, begin, begin + size, item)
+def _prints(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions and the hashes of the fingerprints."""
+    h, whole = grams(words, k)
+    at = fingerprints(h, whole, w)
+    return at, h[at]
+
+
+def _windows_of(words: Words, size: int) -> np.ndarray:
+    """A hash for each position, of the window of ``size`` words there; windows of different sizes have different hashes."""
+    g, _ = grams(words, size)
+    return mix(g ^ mix(np.array([size], np.uint64))[0])
+
+
+def _items(k: int, w: int):
+    """Of each item its fingerprints (kind 0) and the distinct windows (kind 1, with their size), as (id, kind, size, hash)."""
+    span = k + w - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 1 << 20):
+            words = words_of(batch.column("t"))
+            n, first = np.diff(words.first), words.first
+            at, found = _prints(words, k, w)
+            text_of = words.text_of()
+            parts = [(text_of[at], np.zeros(len(at), np.int32), np.full(len(at), span, np.int32), found)]
+            room = np.arange(len(text_of)) + span <= np.repeat(first[1:], n)
+            parts.append((text_of[room], np.ones(room.sum(), np.int32), np.full(room.sum(), span, np.int32), _windows_of(words, span)[room]))
+            for size in sorted({int(x) for x in n if 0 < x < span}):
+                of = np.flatnonzero(n == size)
+                parts.append((of, np.ones(len(of), np.int32), np.full(len(of), size, np.int32), _windows_of(words, size)[first[of]]))
+            item, kind, size, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(item)), pa.array(kind), pa.array(size), pa.array(value.view(np.int64))], names=["id", "kind", "size", "hash"])
+
+    return run
+
+
+class Filter:
+    """A Bloom filter of hashes with two bits each, and the sizes of the short windows in it."""
+
+    def __init__(self, words: np.ndarray, sizes: list[int]):
+        self.words, self.sizes = words, sizes
+
+    @staticmethod
+    def places(column, bits: int) -> list:
+        """The two bits of a hash column, as Spark expressions; ``bits`` is a power of two."""
+        return [F.pmod(F.shiftright(column, shift), F.lit(bits)) for shift in (0, 31)]
+
+    def may_have(self, value: np.ndarray) -> np.ndarray:
+        signed, bits, out = value.view(np.int64), len(self.words) * 64, np.ones(len(value), bool)
+        for shift in (0, 31):
+            at = (signed >> shift) & (bits - 1)
+            out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
         return out
 
 
+def _filter_of(known: DataFrame, filter_bytes: int, span: int) -> Filter:
+    """The filter of all fingerprints and windows; the driver gets its words, at most ``filter_bytes`` and their numbers."""
+    counts = known.groupBy("size").agg(F.count("*").alias("n")).collect()  # a row a size: span of them at most
+    wanted = 32 * sum(r.n for r in counts)
+    bits = 1 << min(max(16, math.ceil(math.log2(max(wanted, 1)))), int(math.log2(filter_bytes * 8)))
+    place = F.explode(F.array(*Filter.places(F.col("hash"), bits)))
+    set_ = known.select(place.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
+    rows = set_.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return Filter(words, sorted(r["size"] for r in counts if r["size"] < span))
+
+
+def _candidates(words: Words, may: Filter, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, fingerprint, window, size) of each window of a document that may be an item's, with the fingerprint in it."""
+    span = k + w - 1
+    n = np.diff(words.first)
+    last = np.repeat(words.first[1:], n)
+    at, found = _prints(words, k, w)
+    hit = may.may_have(found)
+    at, found = at[hit], found[hit]
+    out = []
+    if len(at):
+        first = np.repeat(words.first[:-1], n)
+        begin = (at[:, None] - np.arange(w)[None, :]).ravel()
+        print_ = np.repeat(found, w)
+        own = np.repeat(at, w)
+        fits = (begin >= first[own]) & (begin + span <= last[own])
+        begin, print_ = begin[fits], print_[fits]
+        window = _windows_of(words, span)[begin] if len(begin) else np.zeros(0, np.uint64)
+        hit = may.may_have(window)
+        out.append((begin[hit], print_[hit], window[hit], np.full(hit.sum(), span)))
+    for size in may.sizes:
+        window = _windows_of(words, size)
+        begin = np.flatnonzero(may.may_have(window) & (np.arange(len(window)) + size <= last))
+        out.append((begin, np.zeros(len(begin), np.uint64), window[begin], np.full(len(begin), size)))
+    if not out:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _scan(may, body: str, names: list[str], into: list[str], k: int, w: int):
+    """Adds the number of words and the candidates of each text; texts of more than a segment go segment by segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = may.value
+        for batch in slices(batches, body, 2 << 20):
+            n_words = np.zeros(batch.num_rows, np.int64)
+            found: list[dict[tuple[int, int, int], list[int]]] = [{} for _ in range(batch.num_rows)]
+            for words, row, before, own in segments_of(batch.column(body), k + w - 2):
+                # positions of a segment's last words are the next one's; windows that begin there are found in either
+                text_of = words.text_of()
+                n_words[row : row + len(own)] += own
+                for p, *key in zip(*(x.tolist() for x in _candidates(words, known, k, w)), strict=True):
+                    i = int(text_of[p])
+                    found[row + i].setdefault(tuple(key), []).append(before + p - int(words.first[i]))
+            rows = [[{"print": _signed(a), "window": _signed(b), "size": c, "starts": sorted(set(starts))} for (a, b, c), starts in x.items()] for x in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n_words), pa.array(rows, pa.list_(_CANDIDATE))], names=[*names, *into])
+
+    return run
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The union of the spans of each document, and how many words are in it."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        n_hit, spans = [], []
+        for hits in batch.column("hits").to_pylist():
+            own = _union([(a, a + h["size"]) for h in hits for a in h["starts"]])
+            n_hit.append(sum(b - a for a, b in own))
+            spans.append([{"start": a, "end": b} for a, b in own])
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(n_hit, pa.int64()), pa.array(spans, kind)], names=["uid", "n_hit", "spans"])
+
+
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -140,53 +212,50 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(index, text: str, into: str, first: bool, names: list[str]):
-    """A function for mapInArrow that adds to ``into`` what one block of the benchmark hits."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = index.value
-        for batch in slices(batches, text, 2 << 20):
-            words = words_of(batch.column(text))
-            n, hits = np.diff(words.first).tolist(), block.scan(words)
-            old = [None] * batch.num_rows if first else batch.column(into).to_pylist()
-            rows = []
-            for i in range(batch.num_rows):
-                spans, items = hits.get(i, ([], set()))
-                ids = {block.ids[x] for x in items}
-                if old[i]:
-                    spans = spans + [(s["start"], s["end"]) for s in old[i]["spans"]]
-                    ids |= set(old[i]["items"])
-                spans = _union(spans)
-                rows.append({"n_words": n[i], "n_hit": sum(b - a for a, b in spans), "items": sorted(ids), "spans": [{"start": a, "end": b} for a, b in spans]})
-            columns = [batch.column(c) for c in names] + [pa.array(rows, _ARROW)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, into])
-
-    return scan
+def _of_known(rows: DataFrame, key: str, known: DataFrame, label: str) -> DataFrame:
+    """The rows whose key is in the column of that name of ``known``, which has each key once."""
+    counted = written(rows.groupBy(key).agg(F.count("*").alias("__n")).join(known, key, "left_semi"), label)
+    return join_counted(rows, counted, [key], "__n").drop("__n")
 
 
 def mark_contamination(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    into: str = "contamination", k: int = 7, w: int = 7, block_bytes: int = 16 << 20,
+    into: str = "contamination", k: int = 7, w: int = 7, filter_bytes: int = 16 << 20, most_broadcast: int = 32 << 20,
 ) -> DataFrame:
     """docs with a struct: n_words, n_hit, the items found (ids as strings, sorted) and the hit spans in words.
 
-    ``block_bytes`` bounds the benchmark text that is sent to the executors at once; a larger benchmark takes more passes.
+    ``filter_bytes`` bounds the filter that is sent to the executors. What was found goes to the documents by broadcast where it is
+    at most ``most_broadcast`` bytes, else by a shuffled join, with the same result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), text_column(benchmark, item_text).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    body = free_name(docs, "__text")
-    names = [*others(docs, into), body]
-    fields = [docs.schema[c] for c in names[:-1]]
-    out = docs.select(*(F.col(f"`{c}`") for c in names[:-1]), text_column(docs, text).alias(body))
-    schema = T.StructType([*fields, T.StructField(body, T.StringType()), T.StructField(into, RESULT)])
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block)
-        rows = sorted(part.distinct().collect())
-        index = spark.sparkContext.broadcast(Index([r.id for r in rows], [r.t for r in rows], k, w))
-        out = out.mapInArrow(_scanner(index, body, into, block == 0, names), schema)
-    return out.drop(body)
+    spark, span = docs.sparkSession, k + w - 1
+    items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), text_column(benchmark, item_text).alias("t"))
+    items = written(items.mapInArrow(_items(k, w), "id string, kind int, size int, hash long").distinct(), "items")
+    known = items.select("kind", "size", "hash").distinct()
+    may = spark.sparkContext.broadcast(_filter_of(known, filter_bytes, span))
+    names = others(docs, into)
+    uid, n_words, found = (free_name(docs, c) for c in ("__uid", "__n_words", "__candidates"))
+    body = free_name(docs, "__body")
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(n_words, T.LongType()), T.StructField(found, _CANDIDATES)])
+    scanned = docs.select(*(F.col(f"`{c}`") for c in names), text_column(docs, text).alias(body)).mapInArrow(_scan(may, body, names, [n_words, found], k, w), schema)
+    stored = written(scanned.withColumn(uid, F.monotonically_increasing_id()), "scanned")
+    near = stored.where(F.size(F.col(found)) > 0).select(F.col(uid).alias("uid"), F.inline(F.col(found)))
+    prints = items.where((F.col("kind") == 0)).select(F.col("hash").alias("print")).distinct()
+    long = _of_known(near.where(F.col("size") == span), "print", prints, "prints")
+    near = long.unionByName(near.where(F.col("size") < span)).select("uid", "window", "size", "starts").distinct()
+    windows = items.where("kind = 1").select(F.col("hash").alias("window")).distinct()
+    hits = written(_of_known(written(near, "windows"), "window", windows, "counts"), "hits")
+    spans = hits.groupBy("uid").agg(F.collect_list(F.struct("size", "starts")).alias("hits")).mapInArrow(_spans, "uid long, n_hit long, spans array<struct<start: long, end: long>>")
+    holders = items.where("kind = 1").select(F.col("hash").alias("window"), "id")
+    # both sides are written: Spark splits a window that many documents have or many items hold
+    ids = written(hits.select("uid", "window").distinct(), "places").join(holders, "window").groupBy("uid").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    place, hit = free_name(stored, "__place"), free_name(stored, "__hit")
+    result = written(spans.join(ids, "uid").select(F.col("uid").alias(place), F.struct("n_hit", "items", "spans").alias(hit)), "found")
+    size = result.agg(F.sum(64 + 16 * F.size(f"{hit}.spans") + F.aggregate(F.col(hit)["items"], F.lit(0), lambda n, x: n + 16 + F.octet_length(x)))).first()[0] or 0
+    result = F.broadcast(result) if size <= most_broadcast else result
+    joined = stored.drop(found).join(result, F.col(uid) == F.col(place), "left")
+    empty = (("n_hit", F.lit(0).cast("long")), ("items", F.array().cast("array<string>")), ("spans", F.array().cast(RESULT["spans"].dataType)))
+    value = F.struct(F.col(n_words).alias("n_words"), *(F.coalesce(F.col(hit)[c], none).alias(c) for c, none in empty))
+    return joined.select(*(F.col(f"`{c}`") for c in names), value.alias(into))
 
 
 def contaminated(into: str = "contamination"):

@@ -6,6 +6,7 @@ letters and everything beyond ASCII. Work is on UTF-8 bytes, where that class is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +53,10 @@ class Words:
 
 
 def words_of(column: pa.Array) -> Words:
-    data, offsets = raw_bytes(column)
+    return _words(*raw_bytes(column))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -89,3 +93,40 @@ def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         out[: n - i] += words.hash[i:] * mix(weight[i : i + 1] + _ODD)[0]
     whole = np.arange(n) + k <= np.repeat(words.first[1:], np.diff(words.first))
     return mix(out), whole
+
+
+def segments_of(column: pa.Array, overlap: int, most: int = 4 << 20) -> Iterator[tuple[Words, int, int, np.ndarray]]:
+    """The words of the texts in segments of about ``most`` bytes, for texts of any length: (words, row, before, own).
+
+    The words are those of the rows from ``row`` on, and before the first of them stand ``before`` others of its text; ``own`` says
+    how many words of each row haven't been in a segment before. A text longer than ``most`` has segments of its own, each of which
+    begins with the last ``overlap`` words of the one before, so that whatever spans up to overlap + 1 words is whole in one of them.
+    """
+    data, offsets = raw_bytes(column)
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
+        begin, stop = int(offsets[row]), int(offsets[end])
+        if stop - begin <= most:
+            words = _words(data[begin:stop], offsets[row : end + 1] - begin)
+            yield words, row, 0, np.diff(words.first)
+            row = end
+            continue
+        place, counted, size = begin, 0, most
+        while True:
+            cut = min(stop, place + size)
+            while cut < stop and IS_WORD[LOWER[data[cut - 1]]]:  # a word is never cut, however long
+                inside = IS_WORD[LOWER[data[cut : min(stop, cut + 65_536)]]]
+                cut += len(inside) if inside.all() else int(inside.argmin())
+                if not inside.all():
+                    break
+            words = _words(data[place:cut], np.array([0, cut - place], np.int64))
+            n, repeated = len(words.hash), min(counted, overlap)
+            yield words, row, counted - repeated, np.array([n - repeated], np.int64)
+            counted += n - repeated
+            if cut >= stop:
+                break
+            again = min(n, overlap)
+            place = place + int(words.start[n - again]) if again else cut
+            size = max(most, 2 * (cut - place))  # more is read at once where few words fill a segment
+        row = end

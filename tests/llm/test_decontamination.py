@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rowforge.llm.decontamination import contaminated, mark_contamination
+from rowforge.llm.decontamination import Filter, _candidates, _filter_of, contaminated, mark_contamination
+from rowforge.llm.words import segments_of, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -38,7 +41,7 @@ def run(spark, docs, items, **options):
     return [(r.contamination.n_words, r.contamination.n_hit, list(r.contamination["items"])) for r in rows]
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 300}])
+@pytest.mark.parametrize("options", [{}, {"filter_bytes": 8, "most_broadcast": 0}])
 def test_against_brute_force(spark, options):
     rng = random.Random(5)
     vocabulary = ["a", "b", "c", "Dd", "é", "9"]  # few words: many chance matches and overlaps
@@ -53,6 +56,43 @@ def test_against_brute_force(spark, options):
     assert run(spark, docs, items, **options) == brute(docs, items)
 
 
+def test_long_texts_in_segments():
+    """Words and candidates of a text cut into segments are those of the whole text."""
+    rng = random.Random(9)
+    texts = ["", "a b", " ".join(f"w{rng.randrange(50)}" for _ in range(900)), "x" * 700 + " y", " " * 500 + "z " + " " * 500 + "é" * 300 + " b c", "only spaces".replace("only", " ") * 90]
+    column = pa.array(texts)
+    whole = words_of(column)
+    everything = Filter(np.full(1 << 10, 0xFFFFFFFFFFFFFFFF, np.uint64), [1, 2, 12])
+    expected = set()
+    for p, f, g, size in zip(*(x.tolist() for x in _candidates(whole, everything, 7, 7)), strict=True):
+        i = int(whole.text_of()[p])
+        expected.add((i, p - int(whole.first[i]), g, size))
+    for most in (64, 200, 1000, 1 << 20):
+        seen, counted = set(), np.zeros(len(texts), np.int64)
+        for words, row, before, own in segments_of(column, 12, most):
+            counted[row : row + len(own)] += own
+            for p, _, g, size in zip(*(x.tolist() for x in _candidates(words, everything, 7, 7)), strict=True):
+                i = int(words.text_of()[p])
+                seen.add((row + i, before + p - int(words.first[i]), g, size))
+        assert counted.tolist() == np.diff(whole.first).tolist() and seen == expected
+
+
+def test_a_passage_of_all_documents_and_items(spark):
+    """One window in a third of all rows on either side, and no broadcast of what was found."""
+    common = "once upon a time in a small town by the sea there lived a keeper of bees"
+    docs = [f"document {i} begins {common} and ends {i}" if i % 3 == 0 else f"document {i} is its own" for i in range(300)]
+    items = [(i, f"item {i} " + (common if i % 3 == 0 else "is short")) for i in range(60)]
+    assert run(spark, docs, items, most_broadcast=0) == brute(docs, items)
+
+
+def test_filter_is_bounded(spark):
+    """What is sent to executors has a bounded size; a filter too small lets more through and loses nothing."""
+    may = _filter_of(spark.createDataFrame([(13, h * 7919 << 17) for h in range(3000)], "size int, hash long"), 64, 13)
+    assert len(may.words) * 8 <= 64 and may.may_have(np.array([h * 7919 << 17 for h in range(3000)], np.int64).view(np.uint64)).all()
+    small = _filter_of(spark.createDataFrame([(13, h * 7919 << 17) for h in range(300)] + [(4, 5)], "size int, hash long"), 1 << 20, 13)
+    assert small.sizes == [4] and small.may_have(np.arange(10**6, 10**6 + 5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).mean() < 0.05
+
+
 def test_every_long_shared_span_is_found(spark):
     rng = random.Random(6)
     docs, items = [], []
@@ -75,4 +115,7 @@ def test_edges(spark, edge_docs, no_docs, edge_rows):
     assert got == expected
     assert marked.where(contaminated("Contamination")).count() == 3
     assert mark_contamination(no_docs, bench).count() == 0
+    clash = edge_docs.selectExpr("*", "1 n_hit", "2 items", "3 spans", "4 __place", "5 __hit", "6 hash", "7 print", "8 n_words")
+    assert mark_contamination(clash, bench).columns == [*[c for c in clash.columns if c != "contamination"], "contamination"]
+    assert mark_contamination(clash, bench, into="items").agg(F.sum("items.n_hit")).first()[0] == 5
     assert mark_contamination(edge_docs, bench.limit(0)).agg(F.sum("contamination.n_hit")).first()[0] == 0
