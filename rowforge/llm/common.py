@@ -41,14 +41,18 @@ def written(df: DataFrame, label: str, *, compression: str = "zstd") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table from ``written`` that no later result reads."""
-    spark = df.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/rowforge-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes the tables from ``written`` that these frames read: of a table itself, or all that a result was made from.
+
+    An operator drops what its result doesn't read. What the result does read stays until its user, who alone knows when it has
+    been read for the last time, calls this with it.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[1].startswith("rowforge-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
@@ -67,15 +71,15 @@ def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
         share *= 4
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, *, most: int = 8192) -> DataFrame:
-    """The inner join of rows with ``counted``, a written table of one row a key whose column n says how many rows have it.
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, *, how: str = "inner", most: int = 8192) -> DataFrame:
+    """The inner or left join of rows with ``counted``, a written table of one row a key whose column n says how many rows have it.
 
     Keys of at least a ``most``-th of all rows, so no more than ``most`` keys, are broadcast and their rows don't move; the
     others are shuffled, and no task gets more than a ``most``-th of the rows by one key.
     """
     least = max(16, math.ceil((counted.agg(F.sum(n)).first()[0] or 0) / most))
     hot = counted.where(F.col(n) >= least)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counted.where(F.col(n) < least), keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counted.where(F.col(n) < least), keys, how)
     return rows.join(F.broadcast(hot), keys).select(*cold.columns).union(cold)
 
 

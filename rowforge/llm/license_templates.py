@@ -85,4 +85,33 @@ OTHER = [
     "This work is hard and never done.", "Version 3.0 of the program is available now.", "Read the terms and conditions before you sign the contract.", "The software is provided to schools in the county free of charge.",
     "The publisher announced a new edition of the dictionary.", "The court granted permission to appeal.", "Redistribution of wealth was the topic of the debate.", "Use of the pool is permitted until nine in the evening.",
     "The warranty covers parts and labour for two years.", "The foundation supports free concerts in the park.", "The author thanks her family and friends.", "No part of the house had been painted.", "The work is in the museum of modern art.",
+    "Fishing without a license is forbidden in this county.", "The restaurant applied for a liquor license last spring.", "He was fined for driving without a valid licence.",
+    "The peace agreement was released under the terms of the treaty.", "Released under the terms of the agreement between the two towns.", "The court ordered that the notice be given to any person named in the case.",
+    "The doctor lost his licence to practise medicine.", "Software is sold in the shop next to the station.", "Copies of the report are available at the library.", "The license plate was found near the bridge.",
+    "A license fee must be paid for every television.", "The general conditions of the contract were changed.", "The eclipse was seen by the public on both coasts.", "Mozilla is the name of a small cat in the story.",
 ]
+
+#: Lines of one or two words, or a name alone, that stand over or for a licence. A line must be equal to one of them.
+HEADINGS: dict[str, list[str]] = {
+    "MIT": ["MIT", "MIT License", "The MIT License", "License: MIT", "The MIT License (MIT)", "MIT Licence"],
+    "Apache": ["Apache License", "Apache 2.0", "License: Apache 2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache-2.0"],
+    "BSD": ["BSD License", "License: BSD", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause"],
+    "ISC": ["ISC License", "License: ISC", "The ISC License"],
+    "GPL": ["GNU General Public License", "GNU GPL", "GPLv3", "GPLv2", "GPL v3", "GPL v2", "License: GPL", "License: GPLv3"],
+    "LGPL": ["GNU Lesser General Public License", "GNU LGPL", "LGPLv3", "License: LGPL"],
+    "AGPL": ["GNU Affero General Public License", "GNU AGPL", "AGPLv3", "License: AGPL"],
+    "MPL": ["Mozilla Public License", "Mozilla Public License 2.0", "MPL 2.0", "License: MPL"],
+    "EPL": ["Eclipse Public License", "Eclipse Public License 2.0", "EPL 2.0", "License: EPL"],
+    "Unlicense": ["The Unlicense", "License: Unlicense", "Public domain"],
+    "CC0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "License: CC0"],
+    "CC-BY": ["CC BY", "CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution"],
+    "CC-BY-SA": ["CC BY-SA", "CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike"],
+    "CC-BY-NC": ["CC BY-NC", "CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial"],
+    "CC-BY-ND": ["CC BY-ND", "CC BY-ND 4.0", "CC BY-ND 3.0", "Creative Commons Attribution-NoDerivatives"],
+    "CC-BY-NC-SA": ["CC BY-NC-SA", "CC BY-NC-SA 4.0", "CC BY-NC-SA 3.0", "Creative Commons Attribution-NonCommercial-ShareAlike"],
+    "CC-BY-NC-ND": ["CC BY-NC-ND", "CC BY-NC-ND 4.0", "CC BY-NC-ND 3.0", "Creative Commons Attribution-NonCommercial-NoDerivatives"],
+    "Proprietary": ["All rights reserved", "Proprietary", "Confidential and proprietary"],
+}
+
+#: Words that take back what follows them.
+NEGATIONS = ("not", "no", "never", "neither", "nor", "cannot", "isn", "aren", "wasn", "without")

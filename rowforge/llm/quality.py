@@ -6,7 +6,9 @@ solved. Leaving one fold's sums out gives scores of rows that the weights have n
 the ridge penalty, and an isotonic fit of labels to those scores calibrates. Weights for scoring use all training folds.
 
 A score depends on the text alone. Null texts count as empty and get a score too. Without labels of both classes every
-score is 1: nothing is known against a document. Repeated rows are scored alike. Extra columns stay.
+score is 1: nothing is known against a document. Repeated rows are scored alike, ties in a score are one step of the calibration.
+Very long texts are read whole, in segments, so that what stays in memory is their distinct words, word triples and lines. An
+empty table gives no rows. Extra columns stay; one of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 from .calibration import Isotonic
 from .common import free_name, others, raw_bytes, slices, text_column, written
 from .labelled import fold, training_labels
-from .words import grams, words_of
+from .words import grams, merged, segments_of
 
 STATISTICS = (
     "log_words", "word_length", "distinct_words", "repeated_neighbours", "distinct_trigrams", "capitals", "digits", "spaces",
@@ -52,37 +54,42 @@ def statistics(column: pa.Array) -> np.ndarray:
     """The statistics of each text, rows x len(STATISTICS), all finite."""
     n = len(column)
     data, offsets = raw_bytes(column)
-    of = np.repeat(np.arange(n), np.diff(offsets))
-    c = np.bincount(of * _CLASSES + _CLASS[data], minlength=n * _CLASSES).reshape(n, _CLASSES).astype(float)
-    words = words_of(column)
-    w = np.diff(words.first).astype(float)
-    text = words.text_of()
-
-    def distinct(value: np.ndarray, text: np.ndarray) -> np.ndarray:
-        if not len(value):
+    c = np.zeros((n, _CLASSES))
+    for i in range(n):  # a mebibyte at once
+        for at in range(int(offsets[i]), int(offsets[i + 1]), 1 << 20):
+            c[i] += np.bincount(_CLASS[data[at : min(at + (1 << 20), int(offsets[i + 1]))]], minlength=_CLASSES)
+    w, repeated = np.zeros(n), np.zeros(n)
+    seen: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
+    for words, row, _, own in segments_of(column, 2):
+        text, count = words.text_of(), np.diff(words.first)
+        new = np.arange(len(text)) - np.repeat(words.first[:-1], count) >= np.repeat(count - own, count)
+        same = (words.hash[1:] == words.hash[:-1]) & (text[1:] == text[:-1]) & new[1:]
+        repeated[row : row + len(own)] += np.bincount(text[1:][same], minlength=len(own))
+        w[row : row + len(own)] += own
+        g, whole = grams(words, 3)
+        for kind, (of, value) in enumerate(((text, words.hash), (text[whole], g[whole]))):
+            seen[kind].append(merged(of + row, value, np.ones(len(of), np.int64)))
+
+    def distinct(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        if not parts:
             return np.zeros(n)
-        order = np.lexsort((value, text))
-        value, text = value[order], text[order]
-        new = np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))
-        return np.bincount(text[new], minlength=n).astype(float)
-
-    g, whole = grams(words, 3)
-    same = np.zeros(len(text), bool)
-    same[1:] = (words.hash[1:] == words.hash[:-1]) & (text[1:] == text[:-1])
+        text, _, _ = merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return np.bincount(text.astype(np.int64), minlength=n).astype(float)
+
     lines, other_lines = np.zeros(n), np.zeros(n)
-    for i, t in enumerate(column.to_pylist()):
-        own = [x for x in (t or "").split("\n") if x.strip()]
+    for i, t in enumerate(column):
+        own = [x for x in (t.as_py() or "").split("\n") if x.strip()]
         lines[i], other_lines[i] = len(own), len(set(own))
     chars = np.maximum(c.sum(1) - c[:, 11], 1)
     letters = np.maximum(c[:, 0] + c[:, 1] + c[:, 10], 1)
     per_word = np.maximum(w, 1)
-    d, d3, w3 = distinct(words.hash, text), distinct(g[whole], text[whole]), np.maximum(w - 2, 1)
+    d, d3, w3 = distinct(seen[0]), distinct(seen[1]), np.maximum(w - 2, 1)
     return np.stack(
         [
             np.log1p(w),
             np.minimum((letters + c[:, 2]) / per_word, 50),
             np.log1p(d) / np.log1p(per_word),
-            np.bincount(text[same], minlength=n) / per_word,
+            repeated / per_word,
             d3 / w3,
             c[:, 1] / letters,
             c[:, 2] / chars,

@@ -10,7 +10,8 @@ the other half of the training folds, and calibration uses scores by trees that
 every text whole and keeps nothing from the corpus.
 
 A score depends on the text alone; null counts as empty. Without labels of both classes every score is 0: nothing is known
-against a document. Repeated rows are scored alike. Extra columns stay.
+against a document. Repeated rows are scored alike, ties in a score are one step of the calibration. Very long texts are read
+whole, piece by piece. An empty table gives no rows. Extra columns stay; one of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -47,6 +48,10 @@ _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 _OBSCURE = re.compile(r"[^\W\d_](?:[*@$!|€+#%.\-_]|\d)+[^\W\d_]")
 SHORTEST, LONGEST = 3, 8
+#: Longer tokens aren't kept between texts; their features are computed each time.
+KEPT = 40
+#: Tokens to either side that are near.
+NEAR = 5
 
 FEATURES = (
     "log_tokens", "insults", "insult_density", "learned", "learned_density", "strongest", "evidence", "evidence_density", "beginnings",
@@ -64,7 +69,7 @@ def terms(text: str) -> set[str]:
     out = set()
     for token in set(text.lower().split()):
         word = _OUTER.sub("", token)
-        if len(word) >= SHORTEST and len(word) <= 40:
+        if len(word) >= SHORTEST:
             out.add("=" + word)
             out.update("^" + b for b in beginnings(word))
     return out
@@ -98,7 +103,7 @@ class Tokens(dict):
             row = (insult, learned, start, you, capital, 0, 0, False, False, False, False)
         else:
             row = self._row(token)
-        if len(self) < self.most:
+        if len(self) < self.most and len(token) <= KEPT:
             self[token] = at = len(self.known) + len(self.pending)
             self.pending.append(row)
             return at
@@ -130,35 +135,83 @@ class Tokens(dict):
         return np.concatenate([self.known, np.array(self.late[::-1], float)])[np.where(at < 0, len(self.known) + len(self.late) + at, at)]
 
 
-def features(texts: list[str | None], tokens: Tokens) -> np.ndarray:
+def pieces(text: str, most: int = 1 << 20) -> Iterator[tuple[list[str], int, int]]:
+    """The tokens of a text in pieces of about ``most`` characters, each with up to NEAR tokens of its neighbours: (tokens, from, to)."""
+    if len(text) <= most:
+        tokens = text.split()
+        yield tokens, 0, len(tokens)
+        return
+    place, before = 0, []
+    while place < len(text):
+        cut = place + most
+        while cut < len(text) and not text[cut].isspace():
+            cut += 1
+        own = text[place:cut].split()
+        after, ahead = [], 1 << 10
+        while cut < len(text):
+            part = text[cut : cut + ahead]
+            after = part.split()
+            if cut + ahead >= len(text) or len(after) > NEAR:
+                break
+            ahead *= 2
+        after = after[:NEAR]
+        yield before + own + after, len(before), len(before) + len(own)
+        before = (before + own)[-NEAR:]
+        place = cut
+
+
+def features(texts: list[str | None], tokens: Tokens, most: int = 1 << 20) -> np.ndarray:
     """rows x len(FEATURES)."""
-    split = [(t or "").split() for t in texts]
-    n = len(split)
-    count = np.array([len(s) for s in split], np.int64)
-    text = np.repeat(np.arange(n), count)
-    insult, learned, start, you, capital, bang, ask, marks, obscured, unmasked, single = tokens.table(split).T
-    add = lambda v: np.bincount(text, v, n)
-    hit = (insult > 0) | (learned > 0)
-    start = np.where(hit, 0, start)
-    strongest = np.zeros(n)
-    np.maximum.at(strongest, text, np.maximum(learned, start))
-    close = np.zeros(len(text), bool)
-    for shift in range(1, 6):  # five tokens to either side, in the same text
-        same = text[shift:] == text[:-shift]
-        close[shift:] |= same & (you[:-shift] > 0)
-        close[:-shift] |= same & (you[shift:] > 0)
-    distinct = np.array([len({w for w, h in zip(s, hit[a : a + len(s)], strict=True) if h}) if any_ else 0 for s, a, any_ in zip(split, np.cumsum(count) - count, add(hit) > 0, strict=True)], float)
+    n = len(texts)
+    sums, strongest, distinct, count = np.zeros((14, n)), np.zeros(n), [set() for _ in range(n)], np.zeros(n)
+    own, size = [], 0
+    for i, t in enumerate(texts):
+        for piece in pieces(t or "", most):
+            own.append((i, *piece))
+            size += len(piece[0])
+            if size > most // 4:
+                _add(own, tokens, sums, strongest, distinct, count)
+                own, size = [], 0
+    _add(own, tokens, sums, strongest, distinct, count)
     words = np.maximum(count, 1)
+    insults, learned, evidence, starts, start_evidence, you, close, capital, bang, ask, marks, obscured, unmasked, single = sums
     return np.stack(
         [
-            np.log1p(count), add(insult), add(insult) / words, add(learned > 0), add(learned > 0) / words, strongest, add(learned), add(learned) / words,
-            add(start > 0), add(start > 0) / words, add(start), add(you) / words, add(hit & close), add(capital) / words, add(bang) / words, add(ask) / words,
-            add(marks) / words, add(obscured), add(obscured) / words, add(unmasked), add(single) / words, distinct,
+            np.log1p(count), insults, insults / words, learned, learned / words, strongest, evidence, evidence / words,
+            starts, starts / words, start_evidence, you / words, close, capital / words, bang / words, ask / words,
+            marks / words, obscured, obscured / words, unmasked, single / words, np.array([len(d) for d in distinct], float),
         ],
         axis=1,
     )
 
 
+def _add(own: list[tuple[int, list[str], int, int]], tokens: Tokens, sums: np.ndarray, strongest: np.ndarray, distinct: list[set], count: np.ndarray) -> None:
+    """Adds the pieces (row, tokens, from, to) to the sums of their rows."""
+    if not own:
+        return
+    n, row = len(strongest), np.array([p[0] for p in own])
+    size = np.array([len(p[1]) for p in own])
+    piece = np.repeat(np.arange(len(own)), size)
+    place = np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
+    counts = (place >= np.array([p[2] for p in own])[piece]) & (place < np.array([p[3] for p in own])[piece])
+    insult, learned, start, you, capital, bang, ask, marks, obscured, unmasked, single = tokens.table([p[1] for p in own]).T
+    hit = (insult > 0) | (learned > 0)
+    start = np.where(hit, 0, start)
+    close = np.zeros(len(piece), bool)
+    for shift in range(1, NEAR + 1):  # in the same text
+        same = piece[shift:] == piece[:-shift]
+        close[shift:] |= same & (you[:-shift] > 0)
+        close[:-shift] |= same & (you[shift:] > 0)
+    text = row[piece][counts]
+    for i, v in enumerate((insult, learned > 0, learned, start > 0, start, you, hit & close, capital, bang, ask, marks, obscured, unmasked, single)):
+        sums[i] += np.bincount(text, v[counts], n)
+    count += np.bincount(text, minlength=n)
+    np.maximum.at(strongest, text, np.maximum(learned, start)[counts])
+    for i in np.flatnonzero(hit & counts).tolist():
+        p = piece[i]
+        distinct[row[p]].add(own[p][1][place[i]])
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per partition: in how many texts a term occurs, by class and half of the folds."""
     found: dict[tuple[int, int], Counter] = defaultdict(Counter)
@@ -171,8 +224,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "half", "n"])
 
 
-def _lexicons(sample: DataFrame, least: int = 3, size: int = 8192) -> list[dict[str, float]]:
-    """Lexicons from half 0, half 1 and both: the lower bound of a term's log-odds, where it is well above 0."""
+def _lexicons(sample: DataFrame, least: int, size: int) -> list[dict[str, float]]:
+    """Lexicons from half 0, half 1 and both: the lower bound of a term's log-odds, where it is well above 0; the ``size`` largest."""
     totals = {(r.half, r.toxic): r.n for r in sample.groupBy("half", (F.col("label") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     counts = sample.mapInArrow(_terms, "term string, toxic long, half long, n long").groupBy("term")
     counts = counts.agg(*(F.sum(F.when((F.col("half") == h) & (F.col("toxic") == c), F.col("n")).otherwise(0)).alias(f"{'ny'[c]}{h}") for h in (0, 1) for c in (0, 1)))
@@ -206,7 +259,7 @@ def _features_by_half(lexicons):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, lexicon_terms: int = 8192, least_texts: int = 3) -> Model | None:
     """A model from rows (doc_id, t) and labels (doc_id, label), or None without labels of both classes."""
     spark = docs.sparkSession
     chosen = hash_sample(labels, ["doc_id"], fit_rows)
@@ -216,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000) -> Model
     classes = sample.agg(F.min("label"), F.max("label")).first()
     if classes[0] is None or classes[0] == classes[1]:
         return None
-    lexicons = _lexicons(sample)
+    lexicons = _lexicons(sample, least_texts, lexicon_terms)
     rows = sample.mapInArrow(_features_by_half(spark.sparkContext.broadcast(lexicons)), "fold int, label double, x array<double>").toArrow()
     rows = rows.combine_chunks()
     k, y = rows.column("fold").to_numpy(), rows.column("label").to_numpy()
@@ -241,10 +294,14 @@ def _scorer(model, names: list[str], body: str, into: str):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", into: str = "toxicity", fit_rows: int = 20_000) -> DataFrame:
-    """docs with a score from 0 to 1; a column of its name is replaced."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", into: str = "toxicity", **options) -> DataFrame:
+    """docs with a score from 0 to 1; a column of its name is replaced.
+
+    Options of ``fit``: it uses at most ``fit_rows`` labelled rows, and a lexicon of at most ``lexicon_terms`` terms, each from at
+    least ``least_texts`` toxic texts.
+    """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_column(docs, text).alias("t"))
-    model = fit(rows, training_labels(labels, label), fit_rows=fit_rows)
+    model = fit(rows, training_labels(labels, label), **options)
     model = docs.sparkSession.sparkContext.broadcast(model)
     names, body = others(docs, into), free_name(docs, "__text")
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(into, T.DoubleType())])

@@ -20,6 +20,7 @@ IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, dtype=np.uint64)
+_AT_ONCE = 1 << 17
 
 
 def powers(n: int) -> np.ndarray:
@@ -76,14 +77,28 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
     end = np.flatnonzero(inside & ~after) + 1
     if not len(start):
         return Words(low, start, end, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    size = end - start
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    value = (low[inside].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[at]
-    hashed = np.add.reduceat(value, np.cumsum(size) - size)
-    hashed = mix(hashed + size.astype(np.uint64) * _ODD)
+    hashed = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), _AT_ONCE):  # a few bytes of working memory for each byte of so many words
+        a, b = start[i : i + _AT_ONCE], end[i : i + _AT_ONCE]
+        size = b - a
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) - np.repeat(first, size)
+        part = slice(a[0], b[-1])
+        value = (low[part][inside[part]].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[at]
+        hashed[i : i + _AT_ONCE] = mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _ODD)
     return Words(low, start, end, hashed, np.searchsorted(start, offsets))
 
 
+def merged(text: np.ndarray, value: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal (text, value) as one, in order, with the sum of their times."""
+    if not len(text):
+        return text, value, times
+    order = np.lexsort((value, text))
+    text, value, times = text[order], value[order], times[order]
+    begin = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (value[1:] != value[:-1])))
+    return text[begin], value[begin], np.add.reduceat(times, begin)
+
+
 def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word position, of the k words from there, and whether all k belong to the same text."""
     n = len(words.hash)

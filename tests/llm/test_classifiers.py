@@ -1,4 +1,8 @@
+import random
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +58,113 @@ def test_fourier_features_approximate_the_kernel():
     assert np.abs(z @ z.T - kernel).max() < 0.05
 
 
+def naive_statistics(text):
+    """The statistics from their names, on Python strings and bytes."""
+    data = text.encode()
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(b + 32 if 65 <= b <= 90 else b for b in data))
+    w, per = len(words), max(len(words), 1)
+    count = lambda chars: sum(b in chars for b in data)
+    small, capital, digit = count(range(97, 123)), count(range(65, 91)), count(range(48, 58))
+    lead = sum(b >= 192 for b in data)
+    chars, letters = max(sum(not 128 <= b < 192 for b in data), 1), max(small + capital + lead, 1)
+    triples = [tuple(words[i : i + 3]) for i in range(w - 2)]
+    lines = [x for x in text.split("\n") if x.strip()]
+    marks = count(b".,;:?'\"-()")
+    return [
+        np.log1p(w), min((letters + digit) / per, 50), np.log1p(len(set(words))) / np.log1p(per), sum(a == b for a, b in zip(words, words[1:], strict=False)) / per,
+        len(set(triples)) / max(w - 2, 1), capital / letters, digit / chars, count(b" \t") / chars, min(len(lines) / per, 2), 1 - len(set(lines)) / max(len(lines), 1),
+        min(marks / per, 5), min(data.count(b"!") / per, 5), min(count(b"#$%&*@^~+=<>/\\_{}[]`") / per, 5), min(data.count(b"|") / per, 5), lead / letters, np.log1p(w / (marks + 1)),
+    ]
+
+
+def odd_texts():
+    rng = random.Random(8)
+    return ["", "a", "!!! ???", "A A a b. b b\n\nx | y\nx | y", "é ü 😀 ÄÖ 12 3", "x" * 3000, " " * 2000 + "z", " ".join(rng.choice(["a", "Bb", "c!", "d\n", "é."]) for _ in range(4000))]
+
+
+@pytest.mark.parametrize("most", [100, 1000, 4 << 20])
+def test_statistics_against_naive_ones(monkeypatch, most):
+    """Also of texts that are read in segments."""
+    whole = quality.segments_of
+    monkeypatch.setattr(quality, "segments_of", lambda column, overlap: whole(column, overlap, most))
+    texts = odd_texts()
+    assert np.allclose(quality.statistics(pa.array(texts)), [naive_statistics(t) for t in texts], atol=1e-12)
+
+
+def naive_toxic_features(text, lexicon):
+    """The features token by token, each looked up in the lexicon by its definition."""
+    found = []
+    for token in text.split():
+        low = token.lower()
+        word = re.sub(r"^[\W_]+|[\W_]+$", "", low)
+        plain = re.sub(r"[\W_]+", "", word.translate(toxicity._SIGNS))
+        insult, learned = word in toxicity.INSULTS, lexicon.get("=" + word, 0.0)
+        start = max([lexicon.get("^" + word[:n], 0.0) for n in range(3, 9) if n < len(word)], default=0.0)
+        unmasked = plain != word and not insult and learned == 0 and (plain in toxicity.INSULTS or lexicon.get("=" + plain, 0.0) > 0)
+        if unmasked:
+            insult, learned = plain in toxicity.INSULTS, lexicon.get("=" + plain, 0.0)
+        obscured = re.search(r"[^\W\d_](?:[*@$!|€+#%.\-_]|\d)+[^\W\d_]", re.sub(r"^[\W_]+|[\W_]+$", "", token)) is not None
+        tail = len(token) - len(token.rstrip("!?.*#%$&@"))
+        found.append((token, insult, learned, start, word in toxicity.SECOND_PERSON, len(word) > 1 and token.upper() == token and low != token, token.count("!"), token.count("?"), tail > 1, obscured, unmasked, len(word) == 1 and word.isalpha()))
+    n, per = len(found), max(len(found), 1)
+    hit = [f[1] or f[2] > 0 for f in found]
+    start = [0 if h else f[3] for f, h in zip(found, hit, strict=True)]
+    near = sum(h and any(found[j][4] for j in range(max(0, i - 5), min(n, i + 6)) if j != i) for i, h in enumerate(hit))
+    add = lambda k: float(sum(f[k] for f in found))
+    known, starts = sum(f[2] > 0 for f in found), sum(s > 0 for s in start)
+    return [
+        np.log1p(n), add(1), add(1) / per, known, known / per, max([0.0, *(max(f[2], s) for f, s in zip(found, start, strict=True))]), add(2), add(2) / per, starts, starts / per, sum(start),
+        add(4) / per, near, add(5) / per, add(6) / per, add(7) / per, add(8) / per, add(9), add(9) / per, add(10), add(11) / per, len({f[0] for f, h in zip(found, hit, strict=True) if h}),
+    ]
+
+
+@pytest.mark.parametrize("most", [40, 300, 1 << 20])
+def test_toxic_features_against_naive_ones(most):
+    rng = random.Random(9)
+    lexicon = {"=grubby": 1.5, "^grub": 0.9, "^foo": 0.8, "=dummkopf": 2.0, "=tag": 0.7}
+    words = ["you", "You!", "idiot", "1d1ot", "i.d.i.o.t", "GRUBBY", "grubbiest", "fool", "foo", "the", "a", "Dummkopf!!", "d*mn", "é", "...", "_", "x" * 60, "x" * 400, "tag", "-", "ALL", "s7upid", "what??"]
+    texts = ["", " ", *words, *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 200))) for _ in range(40))]
+    x = toxicity.features([None, *texts], toxicity.Tokens(lexicon, most=15), most)
+    assert np.allclose(x, [naive_toxic_features(t, lexicon) for t in ["", *texts]])
+
+
+def naive_tree_scores(x, y, rounds, depth, rate, penalty, least):
+    """Boosting by its definition: every split of every node searched over all values that part the rows, row by row."""
+    n, d = x.shape
+    mean = (y.sum() + 0.5) / (n + 1)
+    score = np.full(n, np.log(mean / (1 - mean)))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        nodes = [np.arange(n)]
+        for _ in range(depth):
+            after = []
+            for rows in nodes:
+                best, left, right = 1e-9, rows, rows[:0]
+                for j in range(d):
+                    for cut in sorted(set(x[:, j]))[:-1]:
+                        a = rows[x[rows, j] <= cut]
+                        b = rows[x[rows, j] > cut]
+                        if h[a].sum() < least / 4 or h[b].sum() < least / 4:
+                            continue
+                        gain = g[a].sum() ** 2 / (h[a].sum() + penalty) + g[b].sum() ** 2 / (h[b].sum() + penalty) - g[rows].sum() ** 2 / (h[rows].sum() + penalty)
+                        if gain > best + 1e-9:
+                            best, left, right = gain, a, b
+                after += [left, right]
+            nodes = after
+        for rows in nodes:
+            score[rows] += rate * g[rows].sum() / (h[rows].sum() + penalty)
+    return score
+
+
+def test_trees_against_a_naive_split_search():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (150, 3)).astype(float)  # so few values that each has a bin
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 2) ^ (rng.random(150) < 0.1)).astype(float)
+    trees = BoostedTrees(x, y, rounds=6, depth=3, rate=0.3, bins=64, penalty=2.0, least=3.0)
+    assert np.allclose(trees(x), naive_tree_scores(x, y, 6, 3, 0.3, 2.0, 3.0), atol=1e-6)
+
+
 def test_statistics_of_odd_texts():
     import pyarrow as pa
 

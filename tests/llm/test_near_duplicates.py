@@ -5,12 +5,11 @@ import pyarrow as pa
 import pytest
 
 from rowforge.llm.graph import components
-from rowforge.llm.near_duplicates import REGISTERS, near_duplicate_classes, op6, probability_jaccard, shingles, sketch, without_near_duplicates
-from rowforge.llm.words import words_of
+from rowforge.llm.near_duplicates import REGISTERS, Described, near_duplicate_classes, op6, probability_jaccard, shingles, sketch, without_near_duplicates
 
 
 def sets_of(texts):
-    text, value, weight = shingles(words_of(pa.array(texts, pa.string())))
+    text, value, weight = shingles(pa.array(texts, pa.string()))
     return [(value[text == i], weight[text == i]) for i in range(len(texts))]
 
 
@@ -55,6 +54,21 @@ def brute_classes(texts, threshold=0.8):
     return [find(i) for i in range(len(texts))]
 
 
+def test_texts_in_segments():
+    """Shingles, keys and sketches of texts cut into segments are those of whole texts."""
+    rng = random.Random(6)
+    texts = ["", "a b", "one two three four", " ".join(f"w{rng.randrange(40)}" for _ in range(700)), "x" * 900 + " y" + " " * 600 + "z", " " * 400 + "a b c d e f g"]
+    column = pa.array(texts)
+    whole = Described(column)
+    for most in (50, 300, 2000):
+        part = Described(column, most=most)
+        for name in ("text", "value", "weight", "words", "keys"):
+            assert (getattr(part, name) == getattr(whole, name)).all(), (most, name)
+    args = whole.text, whole.value, whole.weight, len(texts)
+    assert (sketch(*args) == sketch(*args, most=37)).all()
+    assert [len(s[0]) for s in sets_of(texts)] == [0, 1, 1, len(set(zip(*(texts[3].split()[i : 696 + i] for i in range(5)), strict=True))), 1, 3]
+
+
 def test_similarity_is_the_definition():
     sets = sets_of(corpus(random.Random(1), 15))
     for a in sets:
