@@ -2,16 +2,21 @@
 
 Every page is parsed into elements. The subtrees of its structural elements are hashed (tag, class, id and everything within);
 Spark counts on how many different page bodies of a host each hash stands, exact copies of a page counting once, and subtrees
-that recur on many of a host's bodies are the site's template and are deleted, so that the blocks of one section, language or
-layout and rotating ones go too; of a large host's bodies it must be a thousandth, so that what a few of very many pages share
-by chance stays. What no page shares with another, such as an advert of its own text, goes by what it is: elements for navigation, headers, footers, sidebars, forms and scripts, and
-elements whose role, class or id says menu, advert, notice, comments and the like. If an article or main element is left,
-the text is taken from there, otherwise from the rest of the body.
-
-An article's own paragraphs are never template, however many pages repeat them. Character references are decoded, white space
-inside a block becomes one space, blocks are joined by two line ends; nothing is cut to a length. Null html is empty and gives
-an empty text; pages whose url has no host are extracted without template removal. Repeated pages get equal texts. An empty
-table gives no rows. Extra columns stay.
+that recur on ``least_pages`` of a host's bodies are the site's template and are deleted, so that the blocks of one section,
+language or layout and rotating ones go too. Subtrees of over 200 characters and those inside an article must recur on
+``least_long``: there pages quote one another. Of a large host's bodies it must be a thousandth, so that what a few of very many
+pages share by chance stays. A plain paragraph or heading is never template by itself, since texts quote one another; one with
+a class or id can be. Nor is a long subtree with most of a page's text, which is a copied story. What no page shares with
+another, such as an advert of its own text, goes by what it is: elements for navigation, headers, footers, sidebars, forms and
+scripts, and elements whose role, class or id says menu, advert, notice, comments and the like. Templates are deleted before an
+article or main element is looked for and inside it; if one is left, the text is taken from there, otherwise from the rest of the body.
+
+With ``rules=False`` template removal works alone: nothing is known by tag, role, class or id, and no article is chosen.
+
+Character references are decoded, white space inside a block becomes one space, blocks are joined by two line ends; nothing is
+cut to a length. Null html is empty and gives an empty text; pages whose url has no host are extracted without template removal.
+Repeated pages get equal texts; of equally good main elements all count, in page order. Very long pages are parsed whole, alone in
+their batch. An empty table gives no rows. Extra columns stay, whatever their names; one of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -41,8 +46,13 @@ WORDS = frozenset(
 #: Only outside an article.
 OUTER_WORDS = frozenset("header headers top bottom".split())
 MAIN_WORDS = frozenset("article articlebody content maincontent main post postcontent entry entrycontent story".split())
-#: Elements whose subtrees can be template, and those of them that can be inside an article.
-STRUCTURE = frozenset("div section ul ol dl table p header footer nav aside form center blockquote h1 h2 h3 h4 h5 h6 menu details fieldset address span a".split())
+#: Characters of text from which on a subtree is long.
+LONG = 200
+#: Elements without text, always left out.
+TECHNICAL = frozenset("head title script style noscript template iframe object embed svg math canvas audio video map textarea noembed noframes".split())
+#: Elements whose subtrees can be template; those that can be only with a class or id; those that can be inside an article.
+STRUCTURE = frozenset("div section ul ol dl table header footer nav aside form center menu details fieldset address".split())
+TEXTUAL = frozenset("p blockquote h1 h2 h3 h4 h5 h6 span a".split())
 INNER_STRUCTURE = frozenset("div section aside nav header footer form menu fieldset details".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -94,15 +104,31 @@ def _marks(root: Node) -> dict[int, tuple[bool, bool]]:
     return out
 
 
-def candidates(root: Node) -> list[int]:
-    """Distinct hashes (signed) of the subtrees that can be a site's template."""
+def _can_be_template(node: Node, in_main: bool, holds_main: bool, whole: int, rules: bool) -> bool:
+    """``whole`` is the size of the page's text."""
+    if not node.size or (node.size > LONG and 2 * node.size > whole):
+        return False
+    if rules and (holds_main or _is_main(node)):
+        return False
+    if rules and in_main:
+        return node.tag in INNER_STRUCTURE
+    return node.tag in STRUCTURE or (node.tag in TEXTUAL and bool(node.get("class") or node.get("id")))
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _key(node: Node, in_main: bool, rules: bool) -> int:
+    """The hash under which a subtree is counted (signed); it is odd where ``least_long`` holds."""
+    long = node.size > LONG or (rules and in_main)
+    return _signed(node.hash & ~1 | long)
+
+
+def candidates(root: Node, rules: bool = True) -> list[int]:
+    """Distinct keys of the subtrees that can be a site's template."""
     marks = _marks(root)
-    out = set()
-    for node in root.nodes():
-        in_main, holds = marks[id(node)]
-        if node.size and not holds and node.tag in (INNER_STRUCTURE if in_main else STRUCTURE) and not _is_main(node):
-            out.add(node.hash - (1 << 64) if node.hash >> 63 else node.hash)
-    return sorted(out)
+    return sorted({_key(node, marks[id(node)][0], rules) for node in root.nodes() if _can_be_template(node, *marks[id(node)], root.size, rules)})
 
 
 def _blocks(node: Node, skip, out: list[list[str]]) -> None:
@@ -133,7 +159,7 @@ def _blocks(node: Node, skip, out: list[list[str]]) -> None:
                 out[-1].append(" ")
 
 
-def main_text(html: str, template: set[int] | None = None) -> str:
+def main_text(html: str, template: set[int] | None = None, rules: bool = True) -> str:
     """The main text of a page, given the hashes of the template of its site."""
     root = parse(html)
     marks = _marks(root)
@@ -144,14 +170,14 @@ def main_text(html: str, template: set[int] | None = None) -> str:
     def skip(node: Node) -> bool:
         if (known := deleted.get(id(node))) is None:
             in_main, holds = marks[id(node)]
-            known = _chrome(node, in_main, holds)
-            if not known and template and not holds and not _is_main(node) and node.tag in (INNER_STRUCTURE if in_main else STRUCTURE):
-                known = (node.hash - (1 << 64) if node.hash >> 63 else node.hash) in template
+            known = _chrome(node, in_main, holds) if rules else node.tag in TECHNICAL
+            if not known and template and _can_be_template(node, in_main, holds, root.size, rules):
+                known = _key(node, in_main, rules) in template
             deleted[id(node)] = known
         return known
 
     mains: list[Node] = []
-    stack = [root]
+    stack = [root] if rules else []
     while stack:  # outermost main elements that are not deleted
         node = stack.pop()
         if node is not root and skip(node):
@@ -165,7 +191,7 @@ def main_text(html: str, template: set[int] | None = None) -> str:
         if node.tag != "article" and len(inner) == 1:
             mains[i] = inner[0]
     found = mains or [root]
-    if not mains:
+    if rules and not mains:
         named = [x for x in root.nodes() if x.raw and x.tag in ("div", "section", "td") and _words(x) & MAIN_WORDS and not _skipped(x, root, skip)]
         if len(named) == 1:
             found = named
@@ -185,18 +211,21 @@ def _skipped(node: Node, top: Node, skip) -> bool:
     return False
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "html", 1 << 20):
-        bodies, hashes, names = [], [], [c for c in batch.schema.names if c != "html"]
-        for html in batch.column("html").to_pylist():
-            root = parse(html)
-            hash_subtrees(root)
-            bodies.append(root.hash - (1 << 64) if root.hash >> 63 else root.hash)
-            hashes.append(candidates(root))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=[*names, "body", "hashes"])
+def _hashes(rules: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html", 1 << 20):
+            bodies, hashes, names = [], [], [c for c in batch.schema.names if c != "html"]
+            for html in batch.column("html").to_pylist():
+                root = parse(html)
+                hash_subtrees(root)
+                bodies.append(_signed(root.hash))
+                hashes.append(candidates(root, rules))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=[*names, "body", "hashes"])
+
+    return run
 
 
-def _texts(names: list[str], body: str, template: str, into: str, sites):
+def _texts(names: list[str], body: str, template: str, into: str, sites, rules: bool):
     """``template`` has the page's host, or where ``sites`` is None the hashes of its host's template that stand on the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +233,7 @@ def _texts(names: list[str], body: str, template: str, into: str, sites):
         for batch in slices(batches, body, 1 << 20):
             known = batch.column(template).to_pylist()
             known = [of_host.get(h) if of_host is not None else h and set(h) for h in known]
-            texts = [main_text(h, t) for h, t in zip(batch.column(body).to_pylist(), known, strict=True)]
+            texts = [main_text(h, t, rules) for h, t in zip(batch.column(body).to_pylist(), known, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, into])
 
     return run
@@ -215,25 +244,30 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"(?i)^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]+)", 1))
 
 
-def templates(hashed: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+def templates(hashed: DataFrame, least_pages: int, least_long: int, least_share: float) -> DataFrame:
     """(host, hash) of the subtrees on at least that many different bodies of a host, and that share of them."""
     bodies = hashed.where("host <> ''").select("host", "body", "hashes")
     of_host = bodies.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("bodies"))
     # copies of a body add nothing: the first aggregation leaves one row for each
     seen = bodies.select("host", "body", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    seen = seen.where(F.col("n") >= least_pages)
+    seen = seen.where(F.col("n") >= F.when(F.expr("hash & 1 = 1"), least_long).otherwise(least_pages))
     return seen.join(of_host, "host").where(F.col("n") >= least_share * F.col("bodies")).select("host", "hash")
 
 
 def extract_main_text(
-    pages: DataFrame, *, html: str = "html", url: str = "url", into: str = "main_text", least_pages: int = 5, least_share: float = 0.001, most_broadcast: int = 200_000
+    pages: DataFrame, *, html: str = "html", url: str = "url", into: str = "main_text", least_pages: int = 2, least_long: int = 5, least_share: float = 0.001, rules: bool = True, most_broadcast: int = 200_000
 ) -> DataFrame:
-    """pages with their main text; a column of that name is replaced."""
+    """pages with their main text; a column of that name is replaced.
+
+    A subtree is template from ``least_pages`` different bodies of its host on (``least_long`` where it is long or in an article), and
+    from ``least_share`` of them on. Up to ``most_broadcast``
+    template hashes of all hosts are sent to the tasks, more are joined to the pages that have them, with the same result.
+    """
     source, host = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")), host_of(F.col(f"`{url}`"))
     page = F.xxhash64(source)
-    hashed = pages.select(host.alias("host"), page.alias("page"), source.alias("html")).mapInArrow(_hashes, "host string, page long, body long, hashes array<long>")
+    hashed = pages.select(host.alias("host"), page.alias("page"), source.alias("html")).mapInArrow(_hashes(rules), "host string, page long, body long, hashes array<long>")
     hashed = written(hashed, "subtrees")
-    site = written(templates(hashed, least_pages, least_share), "templates")
+    site = written(templates(hashed, least_pages, least_long, least_share), "templates")
     names = others(pages, into)
     body, template = free_name(pages, "__html"), free_name(pages, "__template")
     rows = pages.select(*(F.col(f"`{c}`") for c in names), source.alias(body), host.alias(template))
@@ -250,7 +284,7 @@ def extract_main_text(
         lists = found.join(dealt, ["host", "hash", "salt"]).groupBy("host", "page").agg(F.collect_list("hash").alias("__hashes"))
         near = (F.col(template) == F.col("__site.host")) & (F.xxhash64(body) == F.col("__site.page"))
         rows = rows.join(lists.alias("__site"), near, "left").select(*(F.col(f"`{c}`") for c in names), body, F.col("__site.__hashes").alias(template))
-    return rows.mapInArrow(_texts(names, body, template, into, sites), T.StructType([*(pages.schema[c] for c in names), T.StructField(into, T.StringType())]))
+    return rows.mapInArrow(_texts(names, body, template, into, sites, rules), T.StructType([*(pages.schema[c] for c in names), T.StructField(into, T.StringType())]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 import inspect
+import os
+import random
 import re
+import xml.etree.ElementTree as ET
 from html import unescape
 
 import pytest
@@ -79,12 +82,101 @@ def test_blocks_of_a_part_of_a_host_are_template(spark, most_broadcast):
     assert got == {i: f"Story number {i}" for i in range(90)}
 
 
+def block(rng, depth=0):
+    """A random element of words and elements, as text."""
+    tag = rng.choice(["div", "section", "ul", "p"]) if depth else "div"
+    words = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(1, 6)))
+    if tag == "p" or depth > 2:
+        return f"<p>{words()}</p>"
+    if tag == "ul":
+        return "<ul>" + "".join(f"<li>{words()}</li>" for _ in range(rng.randint(1, 3))) + "</ul>"
+    return f'<{tag} class="c{rng.randrange(9)}">' + "".join(block(rng, depth + 1) for _ in range(rng.randint(1, 3))) + f"</{tag}>"
+
+
+def naive_texts(rows, least):
+    """Without hashes and without Spark: subtrees as strings, counted per host over different bodies, deleted, and the rest read."""
+    bodies, seen = {}, {}
+    for _, url, html in rows:
+        bodies.setdefault(url.split("/")[2], set()).add(html)
+    for host, own in bodies.items():
+        for html in own:
+            for s in {ET.tostring(e) for e in ET.fromstring(html).iter() if e.tag in ("div", "section", "ul")}:
+                seen[host, s] = seen.get((host, s), 0) + 1
+
+    def read(e, host, whole, out):
+        size = sum(len(t) for t in e.itertext())
+        short = size <= 200 or 2 * size <= whole
+        if e.tag in ("div", "section", "ul") and short and seen[host, ET.tostring(e)] >= (least if size <= 200 else 5):
+            return
+        if e.text and e.text.strip():
+            out.append(" ".join(e.text.split()))
+        for x in e:
+            read(x, host, whole, out)
+
+    texts = {}
+    for page, url, html in rows:
+        out, top = [], ET.fromstring(html)
+        read(top, url.split("/")[2], sum(len(t) for t in top.itertext()), out)
+        texts[page] = "\n\n".join(out)
+    return texts
+
+
+@pytest.mark.parametrize("rules", [True, False])
+def test_removal_against_a_naive_count_on_pages_without_articles(spark, rules):
+    rng = random.Random(7)
+    shared = [block(rng) for _ in range(30)]
+    rows = []
+    for i in range(150):
+        host, parts = f"h{rng.randrange(6)}.example", [block(rng) for _ in range(rng.randint(1, 4))]
+        for _ in range(rng.randint(0, 4)):
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(shared))
+        rows.append((i, f"https://{host}/{i}", "<body>" + "".join(parts) + "</body>"))
+    rows += [(500 + i, *rows[i][1:]) for i in range(0, 60, 3)]  # copies add nothing
+    expected = naive_texts(rows, 2)
+    got = {r.page_id: r.main_text for r in extract_main_text(site(spark, rows), rules=rules).collect()}
+    assert got == expected
+    untouched = {r.page_id: r.main_text for r in extract_main_text(site(spark, rows), rules=rules, least_pages=10**6, least_long=10**6).collect()}
+    assert sum(untouched[i] != got[i] for i in got) > 60
+
+
+def test_removal_alone_finds_the_sites_templates(spark):
+    """Without rules and without choosing articles nearly every host loses text, and no article does."""
+    sf_dir = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    a = {r.page_id: r for r in extract_main_text(pages, rules=False).collect()}
+    b = {r.page_id: r for r in extract_main_text(pages, rules=False, least_pages=10**6, least_long=10**6).collect()}
+    articles = {r.page_id: r.text for r in op5(spark, sf_dir).collect()}
+    assert all(articles[i] in r.main_text for i, r in a.items())
+    changed = [i for i, r in b.items() if r.main_text != a[i].main_text]
+    hosts = {b[i].url.split("/")[2] for i in changed}
+    outside = sum(len(r.main_text) - len(articles[i]) for i, r in b.items())
+    taken = sum(len(b[i].main_text) - len(a[i].main_text) for i in changed)
+    print(f"{len(hosts)} of {len({r.url.split('/')[2] for r in b.values()})} hosts, {len(changed)} of {len(b)} texts, {taken / outside:.3f} of the text outside articles")
+    assert len(hosts) >= 55
+
+
+def test_templates_inside_articles_go(spark):
+    """A shared box in each article goes, the paragraphs that articles share stay."""
+    rows = [(i, f"https://a.example/{i}", f"<body><article><p>A line that all quote.</p><p>Story {i}</p><div><p>Read our town paper</p></div></article></body>") for i in range(9)]
+    got = {r.page_id: r.main_text for r in extract_main_text(site(spark, rows)).collect()}
+    assert got == {i: f"A line that all quote.\n\nStory {i}" for i in range(9)}
+
+
+def test_a_copied_story_is_no_template(spark):
+    story = "<div><p>" + "One story that several pages of the site have in full. " * 20 + "</p></div>"
+    rows = [(i, f"https://a.example/{i}", f"<body><div class=x>Edition {i}</div>{story}</body>") for i in range(9)]
+    got = {r.page_id: r.main_text for r in extract_main_text(site(spark, rows)).collect()}
+    assert all("One story" in t and f"Edition {i}" in t for i, t in got.items())
+
+
 def test_few_of_very_many_pages_are_no_template(spark):
     rows = [("a.example", i, [i, *([-1] if i < 5 else []), *([-2] if i < 40 else [])]) for i in range(20_000)]
     rows += [("b.example", i, [-1]) for i in range(5)]
     hashed = spark.createDataFrame(rows, "host string, body long, hashes array<long>")
     share = inspect.signature(extract_main_text).parameters["least_share"].default
-    assert sorted(map(tuple, templates(hashed, 5, share).collect())) == [("a.example", -2), ("b.example", -1)]
+    assert sorted(map(tuple, templates(hashed, 5, 5, share).collect())) == [("a.example", -2), ("b.example", -1)]
 
 
 def test_copies_and_articles_are_no_template(spark):
