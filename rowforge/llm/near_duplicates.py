@@ -178,8 +178,13 @@ def _compare(threshold: float):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, threshold: float, share: int = 512) -> DataFrame:
-    """The pairs (hub, uid) that are similar, as (a, b). A hub's text goes along with each share of its members."""
+def _links(pairs: DataFrame, texts: DataFrame, threshold: float, *, least: int = 64, most: int = 512) -> DataFrame:
+    """The pairs (hub, uid) that are similar, as (a, b), from a written table.
+
+    A hub's text goes along with each share of its members; shares have so many rows that there are some for each task.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(most, max(least, math.ceil(pairs.count() / (4 * tasks))))
     members = written(pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / share)), "members")
     salted = join_counted(pairs, members, ["hub"], "n").withColumn("salt", F.pmod(F.xxhash64("uid"), "shares"))
     rows = salted.join(texts, "uid").select("hub", "salt", F.lit(1).alias("role"), "uid", "t")
