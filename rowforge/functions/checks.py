@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,3 +73,26 @@ def on_strings(name: str, message: str, test: Callable[[Column], Column], error:
 def utf16_length(value: Column) -> Column:
     """The length in UTF-16 units, in which characters beyond the basic plane count twice."""
     return (F.octet_length(F.encode(value, "UTF-16BE")) / 2).cast("int")
+
+
+def number_text(n: float) -> str:
+    """A number as a dynamically typed language prints it: whole ones without a point, others in the shortest form."""
+    if isinstance(n, bool) or not isinstance(n, int | float):
+        return str(n)
+    if n != n:
+        return "NaN"
+    if n in (float("inf"), float("-inf")):
+        return "Infinity" if n > 0 else "-Infinity"
+    sign, digits, exponent = Decimal(repr(float(n))).normalize().as_tuple()
+    shown, point = "".join(map(str, digits)), len(digits) + exponent  # the point stands behind so many digits
+    if shown == "0":
+        return "0"
+    if len(shown) <= point <= 21:
+        out = shown + "0" * (point - len(shown))
+    elif 0 < point <= 21:
+        out = shown[:point] + "." + shown[point:]
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + shown
+    else:
+        out = shown[0] + ("." + shown[1:] if len(shown) > 1 else "") + f"e{'+' if point > 0 else '-'}{abs(point - 1)}"
+    return "-" * sign + out

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .checks import ARRAY, NUMBER, STRING, Check, on_strings, utf16_length
+from .checks import ARRAY, NUMBER, STRING, Check, number_text, on_strings, utf16_length
 
 SAFE = 9007199254740991
 
@@ -27,19 +27,19 @@ def _sized(name: str, message: str, test) -> Check:
 
 
 def minimum(n: float, error: str | None = None) -> Check:
-    return _sized("min", f"must be at least {n}", lambda m: m >= F.lit(n)).saying(error)
+    return _sized("min", f"must be at least {number_text(n)}", lambda m: m >= F.lit(n)).saying(error)
 
 
 def maximum(n: float, error: str | None = None) -> Check:
-    return _sized("max", f"must be at most {n}", lambda m: m <= F.lit(n)).saying(error)
+    return _sized("max", f"must be at most {number_text(n)}", lambda m: m <= F.lit(n)).saying(error)
 
 
 def between(low: float, high: float, error: str | None = None) -> Check:
-    return _sized("range", f"must be between {low} and {high}", lambda m: (m >= F.lit(low)) & (m <= F.lit(high))).saying(error)
+    return _sized("range", f"must be between {number_text(low)} and {number_text(high)}", lambda m: (m >= F.lit(low)) & (m <= F.lit(high))).saying(error)
 
 
 def length(n: int, error: str | None = None) -> Check:
-    return on_strings("length", f"must be exactly {n} characters", lambda v: utf16_length(v) == n, error)
+    return on_strings("length", f"must be exactly {number_text(n)} characters", lambda v: utf16_length(v) == n, error)
 
 
 def _numbers(name: str, message: str, test, error: str | None) -> Check:
@@ -47,7 +47,7 @@ def _numbers(name: str, message: str, test, error: str | None) -> Check:
 
 
 def multiple_of(n: float, error: str | None = None) -> Check:
-    return _numbers("multiple_of", f"must be a multiple of {n}", lambda v, _: F.try_mod(v, F.lit(n)) == 0, error)
+    return _numbers("multiple_of", f"must be a multiple of {number_text(n)}", lambda v, _: F.try_mod(v, F.lit(n)) == 0, error)
 
 
 def positive(error: str | None = None) -> Check:

@@ -197,7 +197,8 @@ def errors_of(node: Node, value: Column, dtype: T.DataType, path: Path, rules: R
     kind = node.kind
     if kind in ("any", "never"):
         return _no_errors()
-    message = MESSAGES["integer" if kind == "number" and node.brand == "integer" else kind]
+    literal = kind == "boolean" and (node.optional or node.nullable)  # true, false and no third value: a union of literals
+    message = MESSAGES["integer" if kind == "number" and node.brand == "integer" else "literal" if literal else kind]
     wrong = _one(message, path, rules)
     rest: Column | None = None
     if kind == "string":
@@ -213,7 +214,7 @@ def errors_of(node: Node, value: Column, dtype: T.DataType, path: Path, rules: R
     elif kind in ("bigint", "date"):
         right = _is(kind, value, dtype)
     elif kind == "boolean":
-        right = _boolean(value, dtype).isNotNull()
+        right = _is("boolean", value, dtype) if literal else _boolean(value, dtype).isNotNull()
     elif kind in ("literal", "enum"):
         right = _any([_equals(value, dtype, x) for x in node.literals])
     elif kind == "null":
@@ -295,7 +296,7 @@ def _field_errors(node: Node, value: Column, dtype: T.DataType, path: Path, rule
 
 
 def data_of(node: Node, value: Column, dtype: T.DataType, prune: bool = True) -> Column:
-    """A valid value with numbers and booleans coerced. Undeclared fields go from required objects only."""
+    """A valid value with numbers and required booleans coerced. Undeclared fields go from required objects only."""
     kind, variant = node.kind, _is_variant(dtype)
     if kind == "number":
         return _number(value, dtype)

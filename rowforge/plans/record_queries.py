@@ -30,6 +30,11 @@ JSON: dict[str, tuple[t.Node, Rules, list[tuple[str, str]]]] = {
         Rules(),
         [('{"v": true}', ""), ('{"v": "TRUE"}', ""), ('{"v": 0}', ""), ('{"v": "1"}', ""), ('{"v": " true"}', "v: must be true or false"), ('{"v": 2}', "v: must be true or false"), ('{"v": null}', "v: must be true or false")],
     ),
+    "boolean_optional": (
+        _V(v=t.boolean.maybe(), w=t.boolean.or_null()),
+        Rules(),
+        [('{"w": true}', ""), ('{"v": false, "w": null}', ""), ('{"v": "true", "w": false}', "v: invalid literal type"), ('{"v": 1, "w": 0}', "v: invalid literal type; w: invalid literal type"), ('{"v": null}', "v: invalid literal type; w: invalid literal type")],
+    ),
     "date": (_V(v=t.date), Rules(), [('{"v": "2024-01-01"}', "v: invalid date type"), ('{"v": {k}}', "v: invalid date type")]),
     "literal": (_V(v=t.literal("yes", "no", None)), Rules(), [('{"v": "yes"}', ""), ('{"v": null}', ""), ('{"v": "maybe"}', "v: invalid literal type"), ('{"v": true}', "v: invalid literal type")]),
     "literal_boolean": (_V(v=t.literal(True)), Rules(), [('{"v": true}', ""), ('{"v": false}', "v: invalid literal type"), ('{"v": "true"}', "v: invalid literal type")]),
@@ -49,7 +54,7 @@ JSON: dict[str, tuple[t.Node, Rules, list[tuple[str, str]]]] = {
     "tuple": (
         _V(v=t.tuple_(t.string, t.number, t.boolean.maybe())),
         Rules(),
-        [('{"v": ["a", {k}]}', ""), ('{"v": ["a", 1, true]}', ""), ('{"v": ["a"]}', "v: invalid tuple type"), ('{"v": [1, "x"]}', "v.[0]: must be a string; v.[1]: must be a number"), ('{"v": ["a", 1, true, 4]}', "v: invalid tuple type")],
+        [('{"v": ["a", {k}]}', ""), ('{"v": ["a", 1, true]}', ""), ('{"v": ["a", 1, "true"]}', "v.[2]: invalid literal type"), ('{"v": ["a"]}', "v: invalid tuple type"), ('{"v": [1, "x"]}', "v.[0]: must be a string; v.[1]: must be a number"), ('{"v": ["a", 1, true, 4]}', "v: invalid tuple type")],
     ),
     "object": (
         _V(address=_V(street=t.string, zip=t.string), name=t.string),
@@ -151,10 +156,21 @@ def customer_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.error_counts(_customers(spark, sf_dir), _CUSTOMER)
 
 
-def known_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 3 = 0")
+def customers_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers looked up among the orders; some have none."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
-    return records.with_lookup(customers, "c_nationkey", suppliers, "s_nationkey", "known")
+    return records.with_lookup(customers, "c_custkey", orders, "o_custkey", "known")
+
+
+def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed dates; every ninth is null, and a text is no date."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = o.select("o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate")).alias("ordered"), F.col("o_orderdate").alias("seen"), F.col("o_orderdate").cast("string").alias("said"))
+    node = _V(o_orderkey=t.bigint, ordered=t.date, said=t.date.maybe(), seen=t.date.maybe())
+    r = records.validate(rows.withColumn("said", F.when(F.col("o_orderkey") % 4 == 0, F.col("said"))), node)
+    listed = F.array_join(F.transform("result.errors", lambda e: F.concat(e["path"], F.lit(": "), e["message"])), "; ")
+    return r.select("o_orderkey", "result.ok", F.coalesce(listed, F.lit("")).alias("errors"), F.col("result.data.seen").alias("seen"))
 
 
 def projected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +203,12 @@ _TYPED = {
         customer_error_counts,
         f"SELECT path, CASE path WHEN 'balance_text' THEN 'must be a number' ELSE 'invalid literal type' END AS message, count(*) AS n FROM (SELECT unnest(paths) AS path FROM ({_PATHS})) GROUP BY path",
     ),
-    "record_lookup": (known_nations, "SELECT c_custkey, c_nationkey, c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) AS known FROM customer"),
+    "record_lookup": (customers_with_orders, "SELECT c_custkey, c_nationkey, c_custkey IN (SELECT o_custkey FROM orders) AS known FROM customer"),
+    "record_dates": (
+        dated_orders,
+        "SELECT o_orderkey, o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 0 AS ok, array_to_string(list_filter([CASE WHEN o_orderkey % 9 = 0 THEN 'ordered: invalid date type' END, "
+        "CASE WHEN o_orderkey % 4 = 0 THEN 'said: invalid date type' END], lambda x: x IS NOT NULL), '; ') AS errors, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 0 THEN o_orderdate END AS seen FROM orders",
+    ),
     "record_projection": (projected_events, "SELECT event_id, true AS ok, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events"),
     "record_array_rows": (unique_embeddings, "SELECT vec_id, label BETWEEN 0 AND 4 AS ok FROM embeddings"),
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowforge.serde import Codec, FieldSpec, Registry
-from rowforge.serde.columns import RecordFormat, decode_vectors, encode_vectors, split_frames, vector_element
+from rowforge.serde.codec import ELEMENTS
+from rowforge.serde.columns import RecordFormat, decode_json, decode_vectors, encode_tagged, encode_vectors, split_frames, value_length, vector_element
 from rowforge.serde.schema import name_hash, shape_hash
 
 
@@ -99,6 +100,67 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("vec_id", F.octet_length("v").alias("size"), F.hex(F.substring("v", 1, 4)).alias("head"), (decode_vectors(F.col("v"), element) == F.col("embedding")).alias("same"), F.col("embedding")[7].cast("double").alias("eighth"))
 
 
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VARIANT columns as tagged values in a record, written and read back."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    nested = F.concat(F.lit('{"a":[1,"x",null,true,{"b":'), F.col("user_id").cast("string"), F.lit('}],"c":0.5}'))
+    df = e.select("event_id", F.parse_json("props").alias("props"), F.parse_json(F.when(F.col("event_id") % 4 != 0, nested)).alias("nested"))
+    form = RecordFormat(df.schema)
+    back = form.decoded(df.select(form.encode().alias("frame")), "frame")
+    return back.select("event_id", F.try_variant_get("props", "$.k", "int").alias("k"), F.to_json("nested").alias("nested"))
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values without a schema, and what follows them: arrays of small and of wide integers, of fractions, of texts and of nulls."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    numbers = F.when(F.col("l_linenumber") % 3 == 0, F.array("l_linenumber", F.lit(300.0))).when(F.col("l_linenumber") % 3 == 1, F.array("l_linenumber", F.lit(7.0))).otherwise(F.array("l_linenumber", F.lit(0.5)))
+    df = rows.select("l_orderkey", "l_linenumber", numbers.cast("array<double>").alias("v"), F.array("l_returnflag", F.lit(None).cast("string")).alias("t"))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    df = df.select("l_orderkey", "l_linenumber", encode_tagged(F.col("v"), kinds["v"]).alias("v"), encode_tagged(F.col("t"), kinds["t"]).alias("t"))
+    df = df.select("l_orderkey", "l_linenumber", F.concat("v", "t").alias("both"), "v", "t")
+    texts = F.from_json(decode_json(F.col("t")), "array<string>")
+    return df.select(
+        "l_orderkey", "l_linenumber", F.octet_length("v").alias("size"), (value_length(F.col("both")) == F.octet_length("v")).alias("passed"), value_length(F.substring("both", 1, 6)).alias("cut"),
+        F.from_json(decode_json(F.col("both")), "array<double>")[1].alias("second"), texts[0].alias("flag"), F.size(texts).alias("items"),
+    )
+
+
+def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets, generic arrays and maps of texts through one record."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    df = p.select("p_partkey", F.array("p_brand", "p_type", "p_brand").alias("names"), F.array("p_size", "p_partkey").cast("array<double>").alias("numbers"), F.create_map(F.lit("brand"), "p_brand").alias("by_name"))
+    form = RecordFormat(df.schema, types={"names": "set", "numbers": "array"})
+    back = form.decoded(df.select(form.encode().alias("frame")), "frame")
+    return back.select("p_partkey", F.size("names").alias("n_names"), F.col("names")[1].alias("type"), F.col("numbers")[1].alias("key"), F.col("by_name")["brand"].alias("brand"))
+
+
+def registries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames read with schemas that another registry wrote out, some of them damaged: only whole ones give a record."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
+    form = RecordFormat(s.schema)
+    other = Registry()
+    other.load(form.registry.to_bytes())
+    frames = s.select("s_suppkey", form.encode().alias("frame"))
+    frames = frames.select("s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, F.substring("frame", 1, 12)).otherwise(F.col("frame")).alias("frame"))
+    text = decode_json(F.col("frame"), other)
+    return frames.select("s_suppkey", F.get_json_object(text, "$.s_name").alias("name"), F.lit(form.hash in other.schemas).alias("known"))
+
+
+def vector_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of each element type that a column can have, every fifth with a byte too many."""
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
+    out = None
+    for element in ELEMENTS[:6] + ELEMENTS[7:10]:
+        values = F.array(*((F.col("vec_id") + i) % 120 for i in range(3))).cast("array<double>")
+        stored = ids.select("vec_id", values.alias("values"), encode_vectors(values, element).alias("v"))
+        stored = stored.withColumn("v", F.when(F.col("vec_id") % 5 == 0, F.concat("v", F.lit(b"x"))).otherwise(F.col("v")) if element not in ("<i1", "<u1") else F.col("v"))
+        own = stored.select(
+            F.lit(element[1:]).alias("element"), "vec_id", F.octet_length("v").alias("size"), F.hex(F.substring("v", 1, 2)).alias("head"), decode_vectors(F.col("v"), element)[2].cast("double").alias("third")
+        )
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames whose bytes are known."""
     registry = Registry()
@@ -131,6 +193,22 @@ _QUERIES = {
     "serde_dates": (dates, "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events"),
     "serde_frames": (frames, "SELECT c_custkey AS k, CAST(0 AS BIGINT) AS \"offset\", c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, CAST(9 + 1 + 8 + 1 + strlen(c_name) AS BIGINT), -c_custkey, 'x' FROM customer"),
     "serde_vectors": (vectors, "SELECT vec_id, CAST(4 + 4 * len(embedding) AS INTEGER) AS size, '54000000' AS head, true AS same, CAST(embedding[8] AS DOUBLE) AS eighth FROM embeddings"),
+    "serde_variants": (
+        variants,
+        "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CASE WHEN event_id % 4 <> 0 THEN '{\"a\":[1,\"x\",null,true,{\"b\":' || user_id || '}],\"c\":0.5}' END AS nested FROM events",
+    ),
+    "serde_tagged": (
+        tagged,
+        "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 13 WHEN 1 THEN 7 ELSE 21 END AS size, true AS passed, CAST(NULL AS BIGINT) AS cut, CASE l_linenumber % 3 WHEN 0 THEN 300.0 WHEN 1 THEN 7.0 ELSE 0.5 END::DOUBLE AS second, "
+        "l_returnflag AS flag, 2 AS items FROM lineitem",
+    ),
+    "serde_collections": (collections, "SELECT p_partkey, 2 AS n_names, p_type AS type, CAST(p_partkey AS DOUBLE) AS key, p_brand AS brand FROM part"),
+    "serde_registries": (registries, "SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS name, true AS known FROM supplier"),
+    "serde_vector_kinds": (
+        vector_kinds,
+        "SELECT element, vec_id, CAST(4 + 3 * width + CASE WHEN vec_id % 5 = 0 AND width > 1 THEN 1 ELSE 0 END AS INTEGER) AS size, '54' || printf('%02X', id) AS head, CASE WHEN vec_id % 5 <> 0 OR width = 1 THEN CAST((vec_id + 2) % 120 AS DOUBLE) END AS third "
+        "FROM embeddings, (VALUES ('f4', 0, 4), ('f8', 1, 8), ('i1', 2, 1), ('i2', 3, 2), ('i4', 4, 4), ('u1', 5, 1), ('u2', 7, 2), ('u4', 8, 4), ('i8', 9, 8)) AS k(element, id, width)",
+    ),
     "serde_golden": (
         golden,
         "SELECT * FROM (VALUES ('simple', '08c0ad19a20600000005416c696365'), ('multi', '08c5fe952308000000011e05416c696365'), ('packed', '12c5fe952308000000011e05416c696365'), "

@@ -3,6 +3,9 @@
 Records of flat fields are written and read by column: numpy places the bytes of one field of all rows of an Arrow batch at
 once. Other schemas go row by row through ``Codec``, still in Arrow batches. Sizes, and integers at a constant offset, are
 computed by built-in expressions alone.
+
+VARIANT columns are tagged values; they travel to Python and back as JSON, so what JSON has no form for comes back as text or
+as arrays. Their objects are written as maps from texts, for a schema that one executor makes up is not known to another. Arrays can be sets on the wire (``types={"tags": "set"}``); they come back without repetitions.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codec import ELEMENTS, OBJECT, Codec, decode_vector, encode_vector
-from .schema import BigInt, FieldSpec, Map, Registry, Schema
+from .schema import BigInt, FieldSpec, Map, Registry, Schema, Set
 from .wire import FIXED, U32, CodecError
 
 #: The wire type of each Spark type.
@@ -237,6 +240,8 @@ def _plain(value: Any, dtype: T.DataType) -> Any:
         return None
     if isinstance(dtype, T.LongType):
         return BigInt(value)
+    if isinstance(dtype, T.VariantType):
+        return json.loads(value, object_pairs_hook=Map)
     if isinstance(dtype, T.ArrayType):
         return [_plain(v, dtype.elementType) for v in value]
     if isinstance(dtype, T.StructType):
@@ -246,19 +251,34 @@ def _plain(value: Any, dtype: T.DataType) -> Any:
     return value
 
 
-def _loose(value: Any) -> Any:
-    """A decoded value as JSON: dates and bytes as text, maps and sets as arrays."""
+def _loose(value: Any, objects: bool = False) -> Any:
+    """A decoded value as JSON: dates and bytes as text, maps and sets as arrays; with ``objects`` maps from texts as objects."""
     if isinstance(value, datetime):
         return value.isoformat()
     if isinstance(value, bytes):
         return value.hex()
     if isinstance(value, np.ndarray):
         return value.tolist()
-    if isinstance(value, Map):
-        return [[_loose(k), _loose(v)] for k, v in value.items()]
+    if isinstance(value, Map) and not (objects and all(isinstance(k, str) for k in value)):
+        return [[_loose(k, objects), _loose(v, objects)] for k, v in value.items()]
     if isinstance(value, dict):
-        return {k: _loose(v) for k, v in value.items()}
-    return [_loose(v) for v in value] if isinstance(value, list | tuple) else value
+        return {k: _loose(v, objects) for k, v in value.items()}
+    return [_loose(v, objects) for v in value] if isinstance(value, list | tuple) else value
+
+
+def _arrow(value: Any, variant: bool) -> Any:
+    """A decoded value as Arrow takes it."""
+    if variant:
+        return None if value is None else json.dumps(_loose(value, True), ensure_ascii=False)
+    return list(value.items()) if isinstance(value, Map) else value
+
+
+def _holds_variant(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_holds_variant(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _holds_variant(dtype.elementType)
+    return _holds_variant(dtype.valueType) if isinstance(dtype, T.MapType) else isinstance(dtype, T.VariantType)
 
 
 class RecordFormat:
@@ -269,10 +289,13 @@ class RecordFormat:
         self.hash = self.registry.define(specs_of(schema, self.registry, types, nullable))
         self.schema, self.compress, self.struct = self.registry.schemas[self.hash], compress, schema
         self.flat = is_flat(self.schema) and not (compress and self.schema.compressible)
+        if any(_holds_variant(f.dataType) and not isinstance(f.dataType, T.VariantType) for f in schema.fields):
+            raise CodecError("VARIANT inside another type has no column form; make the whole column a VARIANT")
 
     def encode(self, columns: dict[str, Column] | None = None) -> Column:
         """The frame of each row's record."""
         order = [f.name for f in self.schema.fields]
+        sets = {f.name for f in self.schema.fields if f.type == "set"}
         schema, struct, flat, registry, compress, hash_ = self.schema, self.struct, self.flat, self.registry, self.compress, self.hash
 
         @F.arrow_udf("binary")
@@ -281,17 +304,19 @@ class RecordFormat:
                 return encode_flat(dict(zip(order, arrays, strict=True)), len(arrays[0]), schema)
             codec = Codec(registry, compress=compress)
             kinds = {f.name: f.dataType for f in struct.fields}
-            lists = [a.to_pylist(maps_as_pydicts="strict") for a in arrays]
-            return pa.array([codec.encode({n: _plain(v, kinds[n]) for n, v in zip(order, row, strict=True)}, hash_) for row in zip(*lists, strict=True)], pa.binary())
+            lists = [[Set(v) if n in sets and v is not None else v for v in (_plain(v, kinds[n]) for v in a.to_pylist(maps_as_pydicts="strict"))] for n, a in zip(order, arrays, strict=True)]
+            return pa.array([codec.encode(dict(zip(order, row, strict=True)), hash_) for row in zip(*lists, strict=True)], pa.binary())
 
-        return encode(*((columns or {}).get(n, F.col(f"`{n}`")) for n in order))
+        variants = {f.name for f in struct.fields if isinstance(f.dataType, T.VariantType)}
+        values = {n: (columns or {}).get(n, F.col(f"`{n}`")) for n in order}
+        return encode(*(F.to_json(v) if n in variants else v for n, v in values.items()))
 
     def decoded(self, df: DataFrame, column: str) -> DataFrame:
         """df with the record's fields in place of its frames; null frames give null fields."""
         names = [c for c in df.columns if c != column]
-        fields = struct_of(self.schema, self.registry)
         by_name = {f.name: f.dataType for f in self.struct.fields}
-        fields = T.StructType([T.StructField(f.name, f.dataType if isinstance(f.dataType, T.StructType | T.ArrayType) else by_name.get(f.name, f.dataType)) for f in fields.fields])
+        variants = {f.name for f in self.schema.fields if isinstance(by_name[f.name], T.VariantType)}
+        fields = T.StructType([T.StructField(f.name, T.StringType() if f.name in variants else by_name[f.name]) for f in self.schema.fields])
         schema, flat, registry = self.schema, self.flat, self.registry
         out = T.StructType([*(df.schema[c] for c in names), *fields.fields])
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -306,10 +331,11 @@ class RecordFormat:
                     arrays = decode_flat(frames, schema)
                 else:
                     rows = [codec.decode(b, schema=schema.hash) if b is not None else None for b in frames.to_pylist()]
-                    arrays = [pa.array([None if r is None else list(r[f.name].items()) if isinstance(r[f.name], Map) else r[f.name] for r in rows], f.type) for f in arrow]
+                    arrays = [pa.array([None if r is None else _arrow(r[f.name], f.name in variants) for r in rows], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(a.cast(f.type) for a, f in zip(arrays, arrow, strict=True))], names=out.names)
 
-        return df.mapInArrow(run, out)
+        back = df.mapInArrow(run, out)
+        return back.select(*(F.parse_json(F.col(f"`{c}`")).alias(c) if c in variants else F.col(f"`{c}`") for c in out.names)) if variants else back
 
     def size(self, columns: dict[str, Column] | None = None) -> Column:
         """The bytes of a plain frame, by built-in expressions; -1 where a field's size takes writing it."""
@@ -434,12 +460,56 @@ def vector_element(dtype: T.ArrayType) -> str:
     raise CodecError(f"{dtype.simpleString()} holds no vectors")
 
 
+def encode_tagged(value: Column, dtype: T.DataType) -> Column:
+    """Values without a schema: each with its tag, arrays of numbers packed, objects by a schema of their own shape."""
+    variant = isinstance(dtype, T.VariantType)
+
+    @F.arrow_udf("binary")
+    def encode(values: pa.Array) -> pa.Array:
+        codec = Codec()
+        return pa.array([codec.encode(_plain(v, dtype)) for v in values.to_pylist(maps_as_pydicts="strict")], pa.binary())
+
+    return encode(F.to_json(value) if variant else value)
+
+
+def value_length(frames: Column) -> Column:
+    """The bytes of the first value, found without decoding it; null where it isn't whole."""
+
+    @F.arrow_udf("long")
+    def length(values: pa.Array) -> pa.Array:
+        codec, out = Codec(), []
+        for data in values.to_pylist():
+            try:
+                out.append(codec.skip(data) if data else None)
+            except CodecError:
+                out.append(None)
+        return pa.array(out, pa.int64())
+
+    return length(frames)
+
+
 def encode_vectors(value: Column, element: str) -> Column:
-    """Arrays as vectors of an element type behind their header."""
+    """Arrays as vectors of an element type behind their header. All elements of a batch are converted at once."""
+    head = np.frombuffer(encode_vector(np.zeros(0, element)), np.uint8)
+    width = np.dtype(element).itemsize
 
     @F.arrow_udf("binary")
     def encode(arrays: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else encode_vector(np.array(x, dtype=element)) for x in arrays.to_pylist()], pa.binary())
+        n = len(arrays)
+        sizes = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        items = arrays.flatten()
+        if items.null_count:
+            raise CodecError("a vector has no nulls")
+        body = items.to_numpy(zero_copy_only=False).astype(element).view(np.uint8)
+        valid = arrays.is_valid().to_numpy(zero_copy_only=False)
+        total = np.where(valid, 4 + sizes * width, 0)
+        ends = np.cumsum(total)
+        begin = ends - total
+        out = np.zeros(int(ends[-1]) if n else 0, np.uint8)
+        out[begin[valid][:, None] + np.arange(4)] = head
+        out[_spread(begin[valid] + 4, sizes[valid] * width)] = body
+        mask = None if valid.all() else pa.py_buffer(np.packbits(valid, bitorder="little"))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [mask, pa.py_buffer(np.append(0, ends)), pa.py_buffer(out)]).cast(pa.binary())
 
     return encode(value)
 
@@ -447,14 +517,26 @@ def encode_vectors(value: Column, element: str) -> Column:
 def decode_vectors(value: Column, element: str) -> Column:
     """Vectors of one element type as arrays; null where bytes are no such vector."""
     spark = {"f4": "float", "f8": "double", "i1": "tinyint", "i2": "smallint", "i4": "int", "i8": "bigint", "u1": "smallint", "u2": "int", "u4": "bigint"}[element[1:]]
-    arrow = pa.list_(pa.from_numpy_dtype(np.dtype({"u1": "i2", "u2": "i4", "u4": "i8"}.get(element[1:], element))))
+    item = pa.from_numpy_dtype(np.dtype({"u1": "i2", "u2": "i4", "u4": "i8"}.get(element[1:], element)))
+    width, head = np.dtype(element).itemsize, encode_vector(np.zeros(0, element))[:2]
 
     @F.arrow_udf(f"array<{spark}>")
-    def decode(arrays: pa.Array) -> pa.Array:
-        found = [decode_vector(x) for x in arrays.to_pylist()]
-        return pa.array([None if v is None or v.dtype != np.dtype(element) else v.tolist() for v in found], arrow)
+    def decode(frames: pa.Array) -> pa.Array:
+        n = len(frames)
+        known = pc.fill_null(frames, b"")
+        data, begin, size = _raw(known)
+        right = (size >= 4) & ((size - 4) % width == 0)
+        at = np.where(right, begin, 0)
+        for i, b in enumerate(head):
+            right &= (data[at + i] == b) if len(data) > i else False
+        count = np.where(right, (size - 4) // width, 0)
+        body = np.ascontiguousarray(data[_spread(begin[right] + 4, count[right] * width)]).view(element)
+        offsets = np.append(0, np.cumsum(count)).astype(np.int32)
+        mask = None if right.all() else pa.py_buffer(np.packbits(right, bitorder="little"))
+        items = pa.array(body).cast(item)
+        return pa.Array.from_buffers(pa.list_(item), n, [mask, pa.py_buffer(offsets)], children=[items])
 
     return decode(value)
 
 
-__all__ = ["ELEMENTS", "RecordFormat", "decode_flat", "decode_json", "decode_vectors", "encode_flat", "encode_vectors", "little_endian", "specs_of", "split_frames", "struct_of", "vector_element", "wire_type"]
+__all__ = ["ELEMENTS", "RecordFormat", "decode_flat", "decode_json", "decode_vectors", "encode_flat", "encode_tagged", "encode_vectors", "little_endian", "specs_of", "split_frames", "struct_of", "value_length", "vector_element", "wire_type"]

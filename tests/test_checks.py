@@ -1,5 +1,6 @@
 """Each check on values that pass and values that fail, and what it says."""
 
+import re
 from datetime import UTC, datetime
 
 import pytest
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowforge.functions import CHECKS
+from rowforge.functions.checks import number_text
 from rowforge.functions.formats import PATTERNS
+from rowforge.plans.golden import GOLDEN
 
 NAN, INF = float("nan"), float("inf")
 STRINGS = [
@@ -78,6 +81,32 @@ NUMBERS = [
 ]
 
 
+def test_golden_texts(spark):
+    """Every format on at least ten texts that it takes and ten that it refuses."""
+    texts = sorted({v for a, b in GOLDEN.values() for v in (*a, *b)})
+    df = spark.createDataFrame([(v,) for v in texts], "v string")
+    got = {r.v: r for r in df.select("v", *(CHECKS[n]().passes(F.col("v"), T.StringType()).alias(n) for n in GOLDEN)).collect()}
+    wrong = [(n, v) for n, (a, b) in GOLDEN.items() for v in (*a, *b) if got[v][n] != (v in a)]
+    assert wrong == [] and all(len(set(x)) >= 10 for pair in GOLDEN.values() for x in pair)
+    assert set(PATTERNS) <= set(GOLDEN)
+
+
+def test_numbers_in_messages():
+    shown = {10.0: "10", 10: "10", 1e21: "1e+21", 1e20: "100000000000000000000", 1e-7: "1e-7", 0.000001: "0.000001", 1.5e-9: "1.5e-9", -2.5: "-2.5", 0.1: "0.1", 123456.789: "123456.789", INF: "Infinity"}
+    assert {n: number_text(n) for n in shown} == shown
+    assert CHECKS["min"](10.0).message == "must be at least 10" and CHECKS["range"](0.5, 1e21).message == "must be between 0.5 and 1e+21"
+    assert CHECKS["max"](1e-7).message == "must be at most 1e-7" and CHECKS["multiple_of"](5.0).message == "must be a multiple of 5"
+
+
+@pytest.mark.parametrize("unit", ["words", "graphemes", "bytes"])
+def test_lengths_against_a_count(spark, unit):
+    texts = ["", " ", "a", " a", "a b", "a  b ", "\u00a0a\ufeffb\u3000", "é ü", "👩‍👩‍👧 e\u0301", "a\nb\tc d e", "x" * 50, "a " * 40]
+    count = {"words": lambda s: len(re.findall(r"[^\s\ufeff]+", s)), "graphemes": lambda s: len(s) - 4 * s.count("👩‍👩‍👧") - s.count("\u0301"), "bytes": lambda s: len(s.encode())}[unit]
+    for n in (0, 1, 2, 3, 5, 40, 50):
+        for suffix, expected in (("", lambda c, n=n: c == n), ("_max", lambda c, n=n: c <= n), ("_min", lambda c, n=n: c >= n)):
+            assert flags(spark, CHECKS[unit + suffix](n), texts, T.StringType()) == [expected(count(s)) for s in texts], (n, suffix)
+
+
 def flags(spark, check, values, dtype):
     df = spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", dtype)]))
     return [r[0] for r in df.select(check.passes(F.col("v"), dtype)).collect()]

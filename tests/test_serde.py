@@ -178,3 +178,21 @@ def test_damaged_columns(spark):
     for n in (0, 5, 9, 12, len(frame) - 1):
         with pytest.raises(Exception, match="truncated|past|frame"):
             form.decoded(spark.createDataFrame([(frame[:n],)], "frame binary"), "frame").collect()
+
+
+def test_skip_is_where_reading_ends():
+    """Of values of every kind, and of each of their beginnings, which aren't whole."""
+    codec = Codec()
+    inner = {"a": 1, "b": "x", "c": [1, "y", None]}
+    values = [None, True, 5, -7, 70_000, 0.5, BigInt(1 << 40), "", "é", b"ab", [1, 2, 3], [300, 1], [0.5, 2], ["a", None, [1, [2]]], [], Map([("k", [1, Map()])]), Set([1, "x"]), inner, [inner, inner], datetime(2024, 1, 1, tzinfo=UTC), np.arange(3, dtype="<f4")]
+    for value in values:
+        data = codec.encode(value)
+        assert codec.skip(data) == len(data) and codec.skip(b"\x00" + data + b"rest", 1) == len(data) + 1
+        for n in range(len(data)):
+            with pytest.raises(CodecError):
+                codec.skip(data[:n])
+    assert codec.skip(Codec().encode({"unknown": 1})) > 9
+    with pytest.raises(CodecError):
+        codec.skip(b"\x63")
+    with pytest.raises(CodecError):
+        codec.skip(b"\x07\x01\x00\x00\x00" * 5000)
