@@ -2,6 +2,12 @@
 benchmark passages go, and the rest is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and reads what its predecessor kept; all but the last return the columns of docs.
+
+Null and empty texts are scored like any text, by the models; those that are kept are copies of one another and are no benchmark
+passage, and pack as their end id. Documents whose doc_id is null are scored and deduplicated like others. Very long texts are
+read whole by every stage. A repeated row is a copy of the first: one of them stays, that with the smallest doc_id, ties by the
+row. Extra columns go along, whatever their names. An empty table gives an empty table at each stage, and no pieces. Without
+labels of both classes no document is rejected. Whatever a stage writes for itself is deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowforge.llm import decontamination, near_duplicates, packing, quality, toxicity
-from rowforge.llm.common import free_name, written
+from rowforge.llm.common import drop_written, free_name, written
 
 
 def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -57,8 +63,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, made = docs, stage(spark, docs, sf_dir)
+        docs = written(made, name)
+        drop_written(made, before)  # what the stage wrote for itself, and what its predecessor kept
+    return STAGES[-1][1](spark, docs, sf_dir)
