@@ -22,13 +22,16 @@ def text_to_number(value: Column) -> Column:
 
     Radix forms keep 64 bits.
     """
-    text = F.regexp_replace(value, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
-    return F.coalesce(
-        F.when(text == "", F.lit(0.0)),
-        F.when(text.rlike(_DECIMAL), text.try_cast("double")),
-        _radix(text, "x", "0-9a-fA-F", 16),
-        _radix(text, "o", "0-7", 8),
-        _radix(text, "b", "01", 2),
+    trimmed = F.regexp_replace(value, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    general = F.get(F.transform(F.array(trimmed), _number_of), F.lit(0))  # trimmed once, not in each branch
+    return F.when(value.rlike(r"^[0-9]{1,15}\z"), value.try_cast("double")).otherwise(general)
+
+
+def _number_of(text: Column) -> Column:
+    return (
+        F.when(text == "", F.lit(0.0))
+        .when(text.rlike(_DECIMAL), text.try_cast("double"))
+        .when(text.startswith("0"), F.coalesce(_radix(text, "x", "0-9a-fA-F", 16), _radix(text, "o", "0-7", 8), _radix(text, "b", "01", 2)))
     )
 
 

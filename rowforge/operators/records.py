@@ -89,8 +89,27 @@ def _is_variant(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.VariantType)
 
 
-def _variant_type(value: Column) -> Column:
-    return F.schema_of_variant(value)
+class _Shaped(T.VariantType):
+    """The type of a variant whose shape, what ``schema_of_variant`` says, is already at hand."""
+
+    def __init__(self, shape: Column):
+        self.shape = shape
+
+
+def _bound(values: dict[str, Column], build) -> Column:
+    """build over values that are computed once, however often it uses them: Spark shares nothing between branches."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), lambda x: build(*(x.getField(k) for k in values))), F.lit(0))
+
+
+def _with_shape(value: Column, dtype: T.DataType, build) -> Column:
+    """build(value, dtype), where a variant's shape is found once."""
+    if not _is_variant(dtype) or isinstance(dtype, _Shaped):
+        return build(value, dtype)
+    return _bound({"v": value, "shape": F.schema_of_variant(value)}, lambda v, shape: build(v, _Shaped(shape)))
+
+
+def _variant_type(value: Column, dtype: T.DataType) -> Column:
+    return dtype.shape if isinstance(dtype, _Shaped) else F.schema_of_variant(value)
 
 
 def _get(value: Column, dtype: str) -> Column:
@@ -104,7 +123,7 @@ def _is_null(value: Column, dtype: T.DataType) -> Column:
 def _is(kind: str, value: Column, dtype: T.DataType) -> Column:
     """Whether a value is of a kind without coercion. Null and missing values are of none."""
     if _is_variant(dtype):
-        shape = _variant_type(value)
+        shape = _variant_type(value, dtype)
         tests = {
             "string": shape == "STRING",
             "number": shape.isin("BIGINT", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL"),
@@ -125,7 +144,7 @@ def _is(kind: str, value: Column, dtype: T.DataType) -> Column:
 def _number(value: Column, dtype: T.DataType) -> Column:
     if not _is_variant(dtype):
         return to_number(value, dtype)
-    shape = _variant_type(value)
+    shape = _variant_type(value, dtype)
     return (
         F.when(_is("number", value, dtype) | (shape == "BOOLEAN"), _get(value, "double"))
         .when(shape == "STRING", text_to_number(_get(value, "string")))
@@ -194,9 +213,15 @@ def _brand_errors(node: Node, value: Column, dtype: T.DataType, path: Path, rule
 
 def errors_of(node: Node, value: Column, dtype: T.DataType, path: Path, rules: Rules) -> Column:
     """The errors of a present value, an array that is never null."""
-    kind = node.kind
-    if kind in ("any", "never"):
+    if node.kind in ("any", "never"):
         return _no_errors()
+    if node.kind in ("number", "boolean", "literal", "enum", "tuple", "union"):  # these ask for the shape more than once
+        return _with_shape(value, dtype, lambda v, d: _errors_of(node, v, d, path, rules))
+    return _errors_of(node, value, dtype, path, rules)
+
+
+def _errors_of(node: Node, value: Column, dtype: T.DataType, path: Path, rules: Rules) -> Column:
+    kind = node.kind
     literal = kind == "boolean" and (node.optional or node.nullable)  # true, false and no third value: a union of literals
     message = MESSAGES["integer" if kind == "number" and node.brand == "integer" else "literal" if literal else kind]
     wrong = _one(message, path, rules)
@@ -204,6 +229,10 @@ def errors_of(node: Node, value: Column, dtype: T.DataType, path: Path, rules: R
     if kind == "string":
         right = _is("string", value, dtype)
         rest = _brand_errors(node, _get(value, "string") if _is_variant(dtype) else value, T.StringType(), path, rules)
+    elif kind == "number" and isinstance(dtype, _Shaped):
+        typed = replace(node, nullable=False)
+        found = _bound({"n": _number(value, dtype)}, lambda n: _errors_of(typed, n, T.DoubleType(), path, rules))
+        return F.when(_is_null(value, dtype), _no_errors()).otherwise(found) if node.nullable else found
     elif kind == "number":
         number = _number(value, dtype)
         ntype = dtype if isinstance(dtype, T.NumericType) else T.DoubleType()
@@ -298,10 +327,8 @@ def _field_errors(node: Node, value: Column, dtype: T.DataType, path: Path, rule
 def data_of(node: Node, value: Column, dtype: T.DataType, prune: bool = True) -> Column:
     """A valid value with numbers and required booleans coerced. Undeclared fields go from required objects only."""
     kind, variant = node.kind, _is_variant(dtype)
-    if kind == "number":
-        return _number(value, dtype)
-    if kind == "boolean":
-        return _boolean(value, dtype)
+    if kind in ("number", "boolean"):
+        return _with_shape(value, dtype, _number if kind == "number" else _boolean)
     if kind == "string" and variant:
         return _get(value, "string")
     if kind == "bigint" and variant:
@@ -379,9 +406,13 @@ def result_column(node: Node, df: DataFrame, rules: Rules | None = None, *, vari
             dtype = T.DoubleType() if dict(node.fields).get(name, Node("any")).kind == "number" and not isinstance(dtype, T.NumericType) else dtype
             own_errors += [F.when(col.isNotNull() & ~check.passes(col, dtype), _error(check.text(dtype), Path((name,)))) for check in checks]
         extra = F.filter(F.array(*own_errors), lambda e: e.isNotNull()).cast(_ERRORS)
-        errors = F.when(F.size(errors) == 0, extra).otherwise(errors)  # only where all types are right
+        only = lambda e: F.when(F.size(e) == 0, extra).otherwise(e)  # noqa: E731  only where all types are right
+        errors = only(errors) if variant is None else _bound({"e": errors}, only)
+    if variant is not None:  # one value, which a later select doesn't take apart and compute again for each of its fields
+        return _bound({"e": errors}, lambda e: F.struct((F.size(e) == 0).alias("ok"), F.when(F.size(e) == 0, body).alias("data"), F.when(F.size(e) > 0, e).alias("errors")))
     ok = F.size(errors) == 0
-    return F.struct(ok.alias("ok"), F.when(ok, body).alias("data"), F.when(~ok, errors).alias("errors"))
+    some = F.get(F.filter(F.array(errors), lambda e: F.size(e) > 0), F.lit(0))  # null without errors; shared with ok
+    return F.struct(ok.alias("ok"), F.when(ok, body).alias("data"), some.alias("errors"))
 
 
 def _data_type(node: Node) -> T.DataType:

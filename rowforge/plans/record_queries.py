@@ -113,9 +113,8 @@ def _json_query(name: str):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.parse_json(F.expr(text)).alias("record"))
-        result = records.result_column(node, orders, rules, variant="record")
-        listed = F.array_join(F.transform(result.getField("errors"), lambda e: F.concat(e["path"], F.lit(": "), e["message"])), "; ")
-        return orders.select("o_orderkey", result.getField("ok").alias("ok"), F.coalesce(listed, F.lit("")).alias("errors"))
+        listed = F.array_join(F.transform("result.errors", lambda e: F.concat(e["path"], F.lit(": "), e["message"])), "; ")
+        return records.validate(orders, node, rules, variant="record").select("o_orderkey", "result.ok", F.coalesce(listed, F.lit("")).alias("errors"))
 
     errors = _case([_quote(e) for _, e in samples])
     return run, f"SELECT o_orderkey, {errors} = '' AS ok, {errors} AS errors FROM orders"
@@ -177,8 +176,7 @@ def projected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undeclared fields go; props are JSON objects of a number."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.parse_json("props").alias("props"))
     node = _V(k=t.integer)
-    result = records.result_column(node, events, variant="props")
-    return events.select("event_id", result.getField("ok").alias("ok"), result.getField("data").getField("k").alias("k"))
+    return records.validate(events, node, variant="props").select("event_id", "result.ok", "result.data.k")
 
 
 def unique_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
