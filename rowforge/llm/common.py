@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,14 +20,19 @@ UID = "__uid"
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    Without either it is an error: a folder of this machine's own would be lost on a cluster without a word.
+    Without either, a session inside one machine, as in tests, gets a temporary folder of its own. On a cluster it is an error: such
+    a folder would be another one on each machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not kept.isDefined():
+        if kept.isDefined():
+            root = str(kept.get())
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            root = "file://" + tempfile.mkdtemp(prefix="scratch-")
+            spark.sparkContext.setCheckpointDir(root)
+        else:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = str(kept.get())
     return root.rstrip("/")
 
 
