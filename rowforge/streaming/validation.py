@@ -20,12 +20,9 @@ def route(stream: DataFrame, node: Node, good: str, bad: str, checkpoint: str, r
     result = stream.select(*(F.col(f"`{c}`") for c in names), result_column(node, stream, rules, variant=variant).alias("__r"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            batch.where("__r.ok").select("__r.data.*").write.mode("overwrite").parquet(f"{good}/batch={number}")
-            batch.where("NOT __r.ok").select(*(F.col(f"`{c}`") for c in names), F.col("__r.errors").alias("errors")).write.mode("overwrite").parquet(f"{bad}/batch={number}")
-        finally:
-            batch.unpersist()
+        # a batch is read again for each side rather than kept on the executors, which may be lost
+        batch.where("__r.ok").select("__r.data.*").write.mode("overwrite").parquet(f"{good}/batch={number}")
+        batch.where("NOT __r.ok").select(*(F.col(f"`{c}`") for c in names), F.col("__r.errors").alias("errors")).write.mode("overwrite").parquet(f"{bad}/batch={number}")
 
     writer = result.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
