@@ -10,7 +10,8 @@ best neighbour left, whose remainder stays unused. A window that a shard can't f
 only the last window of a task is padded.
 
 Nulls are empty texts (one piece: the end id). Ties in retrieval go to the earlier rest. Repeated rows are packed as often as
-they come. An empty table gives no pieces. A task holds one shard, however many documents share their terms.
+they come. An empty table gives no pieces. A task holds one shard, however many documents share their terms. A very long text is
+tokenized alone in its batch and cut like any other. Columns but the two named ones aren't kept, so their names don't matter.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ hypergeometric draw from what the node has. Totals of up to a thousand million g
 sampler, which has no bound.
 
 Nulls count as empty texts. Rows are never compared, so repeated rows, ties and hot values are dealt like any others. An
-empty table gives no rows. Extra columns stay.
+empty table gives no rows. Very long texts move as they are and count by their bytes in the bins. Extra columns stay, whatever
+their names.
 """
 
 from __future__ import annotations

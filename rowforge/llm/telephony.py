@@ -5,7 +5,8 @@ on that nibble of all blocks of a batch, so the number of numpy calls depends on
 resampled to 16 kHz by a half-band filter that keeps the given samples.
 
 Nulls are empty payloads before padding. Texts of any length are cut into blocks, none is dropped. Equal texts have equal
-files and features. An empty table gives no rows.
+files and features; repeated rows are stored as often as they come. A very long text is stored and decoded alone in its batch. An
+empty table gives no rows. Columns but the two named ones aren't kept, so their names don't matter.
 """
 
 from __future__ import annotations

@@ -146,6 +146,8 @@ def test_edges(spark, edge_docs, no_docs):
     out = license_hits(edge_docs, into="score")
     assert sorted(out.columns) == sorted(edge_docs.columns) and out.count() == edge_docs.count()
     assert license_hits(no_docs).count() == 0
+    clash = edge_docs.selectExpr("*", "1 t", "2 line", "3 __text", "4 licenses", "5 hash")
+    assert license_hits(clash).columns == [*[c for c in clash.columns if c != "licenses"], "licenses"]
     assert corpus_paragraphs(no_docs.selectExpr("text t")) == []
     df = spark.createDataFrame([(1, "x\nAll rights reserved.\nLicensed under CC BY-SA 4.0."), (1, "x\nAll rights reserved.\nLicensed under CC BY-SA 4.0.")], "doc_id long, text string")
     rows = license_hits(df).collect()

@@ -144,6 +144,8 @@ def test_edges(spark, edge_docs, no_docs):
     left = without_near_duplicates(edge_docs)
     assert left.columns == edge_docs.columns and left.count() == 7
     assert near_duplicate_classes(no_docs)[0].count() == 0
+    clash = edge_docs.selectExpr("*", "1 uid", "2 t", "3 k1", "4 bands", "5 rep", "6 size", "7 n", "8 kept", "9 class_id")
+    assert without_near_duplicates(clash).columns == clash.columns and without_near_duplicates(clash).where("uid <> 1 or t <> 2 or n <> 7").count() == 0
 
 
 def test_components(spark):

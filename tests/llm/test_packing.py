@@ -140,6 +140,8 @@ def test_edges(spark, edge_docs, no_docs, edge_rows):
     assert sum(r.length for r in rows) == total
     assert sum(r.doc_id is None for r in rows) == 2 and sum(r.doc_tokens == 1 for r in rows) == 4
     assert digest(pack(no_docs)).count() == 0
+    clash = edge_docs.selectExpr("*", "1 id", "2 uid", "3 t", "4 ids", "5 terms", "6 first", "7 body", "8 rest", "9 whole", "10 term")
+    assert sorted(map(str, digest(pack(clash)).drop("sequence_id", "offset").collect())) == sorted(map(str, digest(pack(edge_docs)).drop("sequence_id", "offset").collect()))
 
 
 def test_query(spark, sf_dir):

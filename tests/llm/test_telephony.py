@@ -96,6 +96,8 @@ def test_columns(spark, edge_docs, no_docs, edge_rows):
         assert bytes(r.pcm) == resample_twice(decode(tag, payload)).astype("<i2").tobytes()
         assert by_payload.setdefault(payload, r.feature) == r.feature
     assert media_features(store_media(no_docs)).count() == 0
+    clash = edge_docs.selectExpr("*", "1 id", "2 n_bytes", "3 media", "4 t", "5 feature", "6 pcm")
+    assert sorted(map(str, media_features(store_media(clash)).collect())) == sorted(map(str, media_features(media).collect()))
 
 
 def test_query(spark, sf_dir):
