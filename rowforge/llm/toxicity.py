@@ -78,7 +78,8 @@ def terms(text: str) -> set[str]:
 class Tokens(dict):
     """From a token to its row in a table of token features; a row is made when its token is first seen.
 
-    Row 0 is that of plain words which nothing is known about; they are the bulk of any vocabulary and aren't kept.
+    Row 0 is that of plain words which nothing is known about, the bulk of any text: what is computed of a text leaves them out.
+    At most ``most`` tokens are kept, and as many again that aren't plain; others are looked at each time.
     """
 
     def __init__(self, lexicon: dict[str, float], most: int = 1 << 18):
@@ -99,11 +100,13 @@ class Tokens(dict):
                 start = max(start, get(low[:n], 0.0))
             learned, insult, you, capital = self.words.get(low, 0.0), low in INSULTS, low in SECOND_PERSON, token.upper() == token and token.lower() != token
             if not (start or learned or insult or you or capital):
+                if len(self) < self.most and len(token) <= KEPT:
+                    self[token] = 0
                 return 0
             row = (insult, learned, start, you, capital, 0, 0, False, False, False, False)
         else:
             row = self._row(token)
-        if len(self) < self.most and len(token) <= KEPT:
+        if len(self) < 2 * self.most and len(token) <= KEPT:
             self[token] = at = len(self.known) + len(self.pending)
             self.pending.append(row)
             return at
@@ -123,16 +126,18 @@ class Tokens(dict):
         marks = len(token) - len(token.rstrip("!?.*#%$&@"))
         return (insult, learned, start, word in SECOND_PERSON, capital, token.count("!"), token.count("?"), marks > 1, obscured, unmasked, len(word) == 1 and word.isalpha())
 
-    def table(self, texts: list[list[str]]) -> np.ndarray:
-        """The features of all tokens of the texts, one after another."""
+    def table(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the tokens that aren't plain, all texts one after another, and their features."""
         self.late.clear()
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
         if self.pending:
             self.known = np.concatenate([self.known, np.array(self.pending, float)])
             self.pending.clear()
+        place = np.flatnonzero(at)
+        at = at[place]
         if not self.late:
-            return self.known[at]
-        return np.concatenate([self.known, np.array(self.late[::-1], float)])[np.where(at < 0, len(self.known) + len(self.late) + at, at)]
+            return place, self.known[at]
+        return place, np.concatenate([self.known, np.array(self.late, float)])[np.where(at < 0, len(self.known) - 1 - at, at)]
 
 
 def pieces(text: str, most: int = 1 << 20) -> Iterator[tuple[list[str], int, int]]:
@@ -190,26 +195,31 @@ def _add(own: list[tuple[int, list[str], int, int]], tokens: Tokens, sums: np.nd
     if not own:
         return
     n, row = len(strongest), np.array([p[0] for p in own])
-    size = np.array([len(p[1]) for p in own])
-    piece = np.repeat(np.arange(len(own)), size)
-    place = np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
-    counts = (place >= np.array([p[2] for p in own])[piece]) & (place < np.array([p[3] for p in own])[piece])
-    insult, learned, start, you, capital, bang, ask, marks, obscured, unmasked, single = tokens.table([p[1] for p in own]).T
+    end = np.cumsum([len(p[1]) for p in own])
+    begin = end - [len(p[1]) for p in own]
+    first, last = begin + [p[2] for p in own], begin + [p[3] for p in own]
+    count += np.bincount(row, last - first, n)
+    place, known = tokens.table([p[1] for p in own])
+    if not len(place):
+        return
+    piece = np.searchsorted(end, place, side="right")
+    counts = (place >= first[piece]) & (place < last[piece])
+    insult, learned, start, you, capital, bang, ask, marks, obscured, unmasked, single = known.T
     hit = (insult > 0) | (learned > 0)
     start = np.where(hit, 0, start)
-    close = np.zeros(len(piece), bool)
-    for shift in range(1, NEAR + 1):  # in the same text
-        same = piece[shift:] == piece[:-shift]
-        close[shift:] |= same & (you[:-shift] > 0)
-        close[:-shift] |= same & (you[shift:] > 0)
+    addressed = np.zeros(int(end[-1]) + 1, bool)
+    addressed[place[you > 0]] = True
+    close = np.zeros(len(place), bool)
+    for shift in (*range(-NEAR, 0), *range(1, NEAR + 1)):  # in the same text
+        other = place + shift
+        close |= (other >= begin[piece]) & (other < end[piece]) & addressed[np.clip(other, 0, len(addressed) - 1)]
     text = row[piece][counts]
     for i, v in enumerate((insult, learned > 0, learned, start > 0, start, you, hit & close, capital, bang, ask, marks, obscured, unmasked, single)):
         sums[i] += np.bincount(text, v[counts], n)
-    count += np.bincount(text, minlength=n)
     np.maximum.at(strongest, text, np.maximum(learned, start)[counts])
     for i in np.flatnonzero(hit & counts).tolist():
         p = piece[i]
-        distinct[row[p]].add(own[p][1][place[i]])
+        distinct[row[p]].add(own[p][1][place[i] - begin[p]])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
