@@ -162,20 +162,26 @@ def imei(error: str | None = None) -> Check:
     return on_strings("imei", "must be a valid IMEI number", lambda v: F.when(v.rlike(r"^[0-9]{15}\z"), F.call_function("luhn_check", v)).otherwise(False), error)
 
 
-def _weighted(digits: Column, n: int, weight) -> Column:
-    """The sum of n characters as digits (X is 10), each times weight(place)."""
-    digit = lambda i: F.when(F.substring(digits, i + 1, 1) == "X", F.lit(10)).otherwise(F.substring(digits, i + 1, 1).try_cast("int"))
+def _weighted(number: Column, n: int, weight) -> Column:
+    """The sum of the n digits of a whole number, leading zeros with them, each times weight(place)."""
+    digit = lambda i: F.call_function("div", number, F.lit(10 ** (n - 1 - i))) % 10
     return functools.reduce(lambda a, b: a + b, (digit(i) * weight(i) for i in range(n)))
 
 
 def isbn(error: str | None = None) -> Check:
-    def sums(digits: Column) -> Column:
-        ten = F.when(digits.rlike(r"^[0-9]{9}[0-9X]\z"), _weighted(digits, 10, lambda i: 10 - i) % 11 == 0)
-        thirteen = F.when(digits.rlike(r"^[0-9]{13}\z"), _weighted(digits, 13, lambda i: 3 if i % 2 else 1) % 10 == 0)
-        return F.coalesce(ten, thirteen, F.lit(False))
-
-    def test(v: Column) -> Column:  # within the lambda the stripped text is a variable: it is computed once
-        return F.get(F.transform(F.array(_stripped(v)), sums), F.lit(0))
+    def ten(digits: Column, number: Column) -> Column:
+        last = F.when(F.substring(digits, 10, 1) == "X", F.lit(10)).otherwise(F.substring(digits, 10, 1).try_cast("int"))
+        return (_weighted(number, 9, lambda i: 10 - i) + last) % 11 == 0
+
+    def sums(x: Column) -> Column:
+        digits, number = x.getField("digits"), x.getField("number")
+        right = F.when(digits.rlike(r"^[0-9]{9}[0-9X]\z"), ten(digits, number))
+        return F.coalesce(right.when(digits.rlike(r"^[0-9]{13}\z"), _weighted(number, 13, lambda i: 3 if i % 2 else 1) % 10 == 0), F.lit(False))
+
+    def test(v: Column) -> Column:  # within a lambda the stripped text and its number are variables: each is computed once
+        number = lambda d: F.when(F.length(d) == 10, F.substring(d, 1, 9)).otherwise(d).try_cast("bigint")
+        both = F.transform(F.array(_stripped(v)), lambda d: F.struct(d.alias("digits"), number(d).alias("number")))
+        return F.get(F.transform(both, sums), F.lit(0))
 
     return on_strings("isbn", "must be a valid ISBN", test, error)
 
