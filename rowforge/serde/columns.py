@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .codec import ELEMENTS, OBJECT, Codec, decode_vector, encode_vector
+from .codec import ELEMENTS, OBJECT, PACKED, Codec, encode_vector, packed_order
 from .schema import BigInt, FieldSpec, Map, Registry, Schema, Set
 from .wire import FIXED, U32, CodecError
 
@@ -110,116 +110,158 @@ def _fixed_matrix(base: str, array: pa.Array, name: str) -> np.ndarray:
     return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
 
 
-def encode_flat(columns: dict[str, pa.Array], n: int, schema: Schema) -> pa.Array:
-    """Frames of records of flat fields in the plain layout."""
+def _varint_bytes(values: np.ndarray) -> np.ndarray:
+    return 1 + sum((values >= np.uint64(1) << np.uint64(7 * k)).astype(np.int64) for k in range(1, 5))
+
+
+def _put_varints(out: np.ndarray, place: np.ndarray, values: np.ndarray, size: np.ndarray) -> None:
+    for k in range(5):
+        some = size > k
+        out[place[some] + k] = (values[some] >> np.uint64(7 * k) & np.uint64(0x7F)).astype(np.uint8) | np.where(size[some] > k + 1, 0x80, 0).astype(np.uint8)
+
+
+def _need(place: np.ndarray, width, limit: np.ndarray) -> None:
+    if len(place) and (place + width > limit).any():
+        raise CodecError("truncated field")
+
+
+def _varints_at(data: np.ndarray, place: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers at some places, and the places behind them."""
+    value, open_ = np.zeros(len(place), np.uint64), np.ones(len(place), bool)
+    for k in range(5):
+        _need(place[open_], 1, limit[open_])
+        b = np.where(open_, data[np.minimum(place, max(len(data) - 1, 0))], 0).astype(np.uint64)
+        value |= (b & np.uint64(0x7F if k < 4 else 0x0F)) << np.uint64(7 * k)
+        place = place + open_
+        open_ &= b >= 0x80
+        if not open_.any():
+            return value, place
+    raise CodecError("varint of more than 5 bytes")
+
+
+def _zigzag(values: np.ndarray) -> np.ndarray:
+    return ((values << 1) ^ (values >> 63)).astype(np.uint64)
+
+
+def _unzigzag(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(1)).astype(np.int64) ^ -(values & np.uint64(1)).astype(np.int64)
+
+
+_VARIABLE = ("int16", "int32", "uint16", "uint32")
+
+
+def _field_writer(base: str, array: pa.Array, name: str, packed: bool):
+    """The bytes that each value takes, and a function that puts them at their places."""
+    if base in ("string", "bytes"):
+        data, begin, length = _raw(array)
+        size = length.astype(np.uint64)
+        head = _varint_bytes(size)
+
+        def put(out: np.ndarray, place: np.ndarray) -> None:
+            _put_varints(out, place, size, head)
+            out[_spread(place + head, length)] = data[_spread(begin, length)]
+
+        return head + length, put
+    matrix = _fixed_matrix(base, array, name)
+    if packed and base in _VARIABLE:
+        values = matrix.view(_NUMPY[base])[:, 0].astype(np.int64)
+        values = _zigzag(values) if base[0] == "i" else values.astype(np.uint64)
+        head = _varint_bytes(values)
+        return head, lambda out, place: _put_varints(out, place, values, head)
+    if packed and base == "float64":
+        values = matrix.view("<f8")[:, 0]
+        with np.errstate(invalid="ignore"):
+            small = (values == np.floor(values)) & (values >= -(1 << 31)) & (values < 1 << 31)
+        whole = _zigzag(np.where(small, values, 0).astype(np.int64))
+        head = _varint_bytes(whole)
+
+        def put(out: np.ndarray, place: np.ndarray) -> None:
+            out[place] = ~small
+            _put_varints(out, place[small] + 1, whole[small], head[small])
+            out[place[~small][:, None] + np.arange(1, 9)] = matrix[~small]
+
+        return 1 + np.where(small, head, 8), put
+
+    def put(out: np.ndarray, place: np.ndarray) -> None:
+        out[place[:, None] + np.arange(matrix.shape[1])] = matrix
+
+    return np.full(len(matrix), matrix.shape[1]), put
+
+
+def encode_flat(columns: dict[str, pa.Array], n: int, schema: Schema, packed: bool = False) -> pa.Array:
+    """Frames of records of flat fields in the plain or the packed layout."""
     bitmap = np.zeros((n, schema.bitmap_bytes), np.uint8)
-    present: list[np.ndarray | None] = []
-    parts: list[Any] = []
-    at = np.full(n, 9 + schema.bitmap_bytes, np.int64)
-    for spec, kind in zip(schema.fields, schema.types, strict=True):
+    names = [schema.fields[i].name for i in schema.booleans] if packed else []
+    flags = np.zeros((n, -(-len(names) // 8)), np.uint8)
+    head = 9 + schema.bitmap_bytes + flags.shape[1]
+    at, writers = np.full(n, head, np.int64), []
+    for spec in schema.fields:
         array = columns[spec.name]
-        rows = None
         if spec.nullable:
             valid = array.is_valid().to_numpy(zero_copy_only=False)
             bit = schema.bits[spec.name]
             bitmap[valid, bit // 8] |= 1 << bit % 8
-            rows, array = np.flatnonzero(valid), array.drop_null()
         elif array.null_count:
             raise CodecError(f"{spec.name} is null in a field that isn't nullable")
-        present.append(rows)
-        own = at if rows is None else at[rows]
-        if kind.base in FIXED:
-            matrix = _fixed_matrix(kind.base, array, spec.name)
-            parts.append((own.copy(), matrix))
-            size = np.full(len(own), matrix.shape[1] if len(own) else 0)
-        else:
-            data, begin, length = _raw(array)
-            head = 1 + sum((length >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
-            parts.append((own.copy(), (data, begin, length, head)))
-            size = head + length
-        if rows is None:
-            at = at + size
-        else:
-            at[rows] += size
+    for i, name in enumerate(names):
+        flags[pc.fill_null(columns[name], False).to_numpy(zero_copy_only=False), i // 8] |= 1 << i % 8
+    for spec, kind in packed_order(schema) if packed else zip(schema.fields, schema.types, strict=True):
+        array = columns[spec.name]
+        rows = np.flatnonzero(array.is_valid().to_numpy(zero_copy_only=False)) if spec.nullable else np.arange(n)
+        size, put = _field_writer(kind.base, array.drop_null(), spec.name, packed)
+        writers.append((rows, at[rows], put))
+        at[rows] += size
     begin = np.cumsum(at) - at
     out = np.zeros(int(at.sum()), np.uint8)
-    out[begin] = OBJECT
+    out[begin] = PACKED if packed else OBJECT
     for i, b in enumerate(U32.pack(schema.hash)):
         out[begin + 1 + i] = b
     out[begin[:, None] + np.arange(5, 9)] = (at - 9).astype("<u4").view(np.uint8).reshape(n, 4)
-    if schema.bitmap_bytes:
-        out[begin[:, None] + np.arange(9, 9 + schema.bitmap_bytes)] = bitmap
-    for rows, (own, part) in zip(present, parts, strict=True):
-        place = own + (begin if rows is None else begin[rows])
-        if isinstance(part, np.ndarray):
-            out[place[:, None] + np.arange(part.shape[1])] = part
-            continue
-        data, start, length, head = part
-        for k in range(5):
-            some = head > k
-            more = head[some] > k + 1
-            out[place[some] + k] = (length[some] >> 7 * k & 0x7F) | np.where(more, 0x80, 0)
-        out[_spread(place + head, length)] = data[_spread(start, length)]
+    out[begin[:, None] + np.arange(9, head)] = np.concatenate([bitmap, flags], axis=1)
+    for rows, own, put in writers:
+        put(out, begin[rows] + own)
     offsets = np.append(begin, len(out)).astype(np.int32)
     return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
-def decode_flat(frames: pa.Array, schema: Schema) -> list[pa.Array]:
-    """The fields of frames in the plain layout, all of this schema."""
+def _read_fixed(data: np.ndarray, place: np.ndarray, limit: np.ndarray, base: str) -> np.ndarray:
+    width = FIXED[base].size
+    _need(place, width, limit)
+    return np.ascontiguousarray(data[place[:, None] + np.arange(width)]).view(_NUMPY[base]).reshape(len(place))
+
+
+def decode_flat(frames: pa.Array, schema: Schema, packed: bool = False) -> list[pa.Array]:
+    """The fields of frames in the plain or the packed layout, all of this schema."""
     data, begin, size = _raw(frames)
     n = len(frames)
     end = begin + size
     if n and size.min() < 9:
         raise CodecError("truncated frame")
     head = data[begin[:, None] + np.arange(9)] if n else np.zeros((0, 9), np.uint8)
-    if n and not (head[:, 0] == OBJECT).all():
-        raise CodecError("a frame is no plain record")
+    if n and not (head[:, 0] == (PACKED if packed else OBJECT)).all():
+        raise CodecError("a frame is no packed record" if packed else "a frame is no plain record")
     if n and not (np.ascontiguousarray(head[:, 1:5]).view("<u4")[:, 0] == schema.hash).all():
         raise CodecError("a frame has another schema")
     if n and not (np.ascontiguousarray(head[:, 5:9]).view("<u4")[:, 0].astype(np.int64) + 9 <= size).all():
         raise CodecError("truncated frame")
+    booleans = schema.booleans if packed else []
+    width = schema.bitmap_bytes + -(-len(booleans) // 8)
     at = begin + 9
-
-    def need(place: np.ndarray, width, limit: np.ndarray) -> None:
-        if len(place) and (place + width > limit).any():
-            raise CodecError("truncated field")
-
-    need(at, schema.bitmap_bytes, end)
-    bits = data[at[:, None] + np.arange(schema.bitmap_bytes)] if n else np.zeros((0, schema.bitmap_bytes), np.uint8)
-    at = at + schema.bitmap_bytes
-    out = []
-    for spec, kind in zip(schema.fields, schema.types, strict=True):
-        bit = schema.bits.get(spec.name)
-        valid = np.ones(n, bool) if bit is None else (bits[:, bit // 8] >> bit % 8 & 1).astype(bool)
+    _need(at, width, end)
+    bits = data[at[:, None] + np.arange(width)] if n else np.zeros((0, width), np.uint8)
+    at = at + width
+    found: dict[str, pa.Array] = {}
+    valid_of = lambda spec: np.ones(n, bool) if (bit := schema.bits.get(spec.name)) is None else (bits[:, bit // 8] >> bit % 8 & 1).astype(bool)
+    for i, k in enumerate(booleans):
+        found[schema.fields[k].name] = pa.array((bits[:, schema.bitmap_bytes + i // 8] >> i % 8 & 1).astype(bool), mask=~valid_of(schema.fields[k]))
+    for spec, kind in packed_order(schema) if packed else zip(schema.fields, schema.types, strict=True):
+        valid = valid_of(spec)
         rows = np.flatnonzero(valid)
         place, limit = at[rows], end[rows]
-        if kind.base in FIXED:
-            width = FIXED[kind.base].size
-            need(place, width, limit)
-            values = np.ascontiguousarray(data[place[:, None] + np.arange(width)]).view(_NUMPY[kind.base]).reshape(len(rows))
-            at[rows] += width
-            full = np.zeros(n, values.dtype)
-            full[rows] = values
-            if kind.base == "date":
-                if len(values) and not np.isfinite(values).all():
-                    raise CodecError(f"{spec.name}: no date")
-                array = pa.array((full * 1000).astype(np.int64), mask=~valid).cast(pa.timestamp("us", "UTC"))
-            else:
-                array = pa.array(full.astype(bool) if kind.base == "boolean" else full, mask=~valid)
-        else:
-            length, shift, open_ = np.zeros(len(rows), np.int64), 0, np.ones(len(rows), bool)
-            for k in range(5):
-                need(place[open_], 1, limit[open_])
-                b = np.where(open_, data[np.minimum(place, max(len(data) - 1, 0))], 0).astype(np.int64)
-                length |= (b & (0x7F if k < 4 else 0x0F)) << shift
-                place = place + open_
-                open_ &= b >= 0x80
-                shift += 7
-                if not open_.any():
-                    break
-            if open_.any():
-                raise CodecError("varint of more than 5 bytes")
-            need(place, length, limit)
+        if kind.base not in FIXED:
+            length, place = _varints_at(data, place, limit)
+            length = length.astype(np.int64)
+            _need(place, length, limit)
             at[rows] = place + length
             sizes = np.zeros(n, np.int64)
             sizes[rows] = length
@@ -227,9 +269,31 @@ def decode_flat(frames: pa.Array, schema: Schema) -> list[pa.Array]:
             body = data[_spread(place, length)]
             mask = pa.py_buffer(np.packbits(valid, bitorder="little")) if not valid.all() else None
             array = pa.BinaryArray.from_buffers(pa.binary(), n, [mask, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
-            array = array.cast(pa.string()) if kind.base == "string" else array
-        out.append(array)
-    return out
+            found[spec.name] = array.cast(pa.string()) if kind.base == "string" else array
+            continue
+        if packed and kind.base in _VARIABLE:
+            values, at[rows] = _varints_at(data, place, limit)
+            values = _unzigzag(values) if kind.base[0] == "i" else values.astype(np.int64)
+        elif packed and kind.base == "float64":
+            _need(place, 1, limit)
+            small = data[place] == 0 if len(place) else np.zeros(0, bool)
+            values, behind = np.zeros(len(rows)), place + 9
+            whole, behind[small] = _varints_at(data, place[small] + 1, limit[small])
+            values[small] = _unzigzag(whole)
+            values[~small] = _read_fixed(data, place[~small] + 1, limit[~small], "float64")
+            at[rows] = behind
+        else:
+            values = _read_fixed(data, place, limit, kind.base)
+            at[rows] += FIXED[kind.base].size
+        full = np.zeros(n, values.dtype)
+        full[rows] = values
+        if kind.base == "date":
+            if len(values) and not np.isfinite(values).all():
+                raise CodecError(f"{spec.name}: no date")
+            found[spec.name] = pa.array((full * 1000).astype(np.int64), mask=~valid).cast(pa.timestamp("us", "UTC"))
+        else:
+            found[spec.name] = pa.array(full.astype(bool) if kind.base == "boolean" else full, mask=~valid)
+    return [found[f.name] for f in schema.fields]
 
 
 # -- rows of Python values
@@ -288,7 +352,7 @@ class RecordFormat:
         self.registry = Registry()
         self.hash = self.registry.define(specs_of(schema, self.registry, types, nullable))
         self.schema, self.compress, self.struct = self.registry.schemas[self.hash], compress, schema
-        self.flat = is_flat(self.schema) and not (compress and self.schema.compressible)
+        self.flat, self.packed = is_flat(self.schema), compress and self.schema.compressible
         if any(_holds_variant(f.dataType) and not isinstance(f.dataType, T.VariantType) for f in schema.fields):
             raise CodecError("VARIANT inside another type has no column form; make the whole column a VARIANT")
 
@@ -296,12 +360,12 @@ class RecordFormat:
         """The frame of each row's record."""
         order = [f.name for f in self.schema.fields]
         sets = {f.name for f in self.schema.fields if f.type == "set"}
-        schema, struct, flat, registry, compress, hash_ = self.schema, self.struct, self.flat, self.registry, self.compress, self.hash
+        schema, struct, flat, packed, registry, compress, hash_ = self.schema, self.struct, self.flat, self.packed, self.registry, self.compress, self.hash
 
         @F.arrow_udf("binary")
         def encode(*arrays: pa.Array) -> pa.Array:
             if flat:
-                return encode_flat(dict(zip(order, arrays, strict=True)), len(arrays[0]), schema)
+                return encode_flat(dict(zip(order, arrays, strict=True)), len(arrays[0]), schema, packed)
             codec = Codec(registry, compress=compress)
             kinds = {f.name: f.dataType for f in struct.fields}
             lists = [[Set(v) if n in sets and v is not None else v for v in (_plain(v, kinds[n]) for v in a.to_pylist(maps_as_pydicts="strict"))] for n, a in zip(order, arrays, strict=True)]
@@ -317,7 +381,7 @@ class RecordFormat:
         by_name = {f.name: f.dataType for f in self.struct.fields}
         variants = {f.name for f in self.schema.fields if isinstance(by_name[f.name], T.VariantType)}
         fields = T.StructType([T.StructField(f.name, T.StringType() if f.name in variants else by_name[f.name]) for f in self.schema.fields])
-        schema, flat, registry = self.schema, self.flat, self.registry
+        schema, flat, packed, registry = self.schema, self.flat, self.packed, self.registry
         out = T.StructType([*(df.schema[c] for c in names), *fields.fields])
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -328,7 +392,7 @@ class RecordFormat:
             for batch in batches:
                 frames = batch.column(column)
                 if flat and not frames.null_count:
-                    arrays = decode_flat(frames, schema)
+                    arrays = decode_flat(frames, schema, packed)
                 else:
                     rows = [codec.decode(b, schema=schema.hash) if b is not None else None for b in frames.to_pylist()]
                     arrays = [pa.array([None if r is None else _arrow(r[f.name], f.name in variants) for r in rows], f.type) for f in arrow]
@@ -361,7 +425,7 @@ class RecordFormat:
         if index is None:
             return F.lit(None)
         spec, kind = self.schema.fields[index], self.schema.types[index]
-        if constant and not self.compress and kind.base in _NUMPY and kind.base not in ("float64", "date"):
+        if constant and not self.packed and kind.base in _NUMPY and kind.base not in ("float64", "date"):
             value = little_endian(frame, at, FIXED[kind.base].size, signed=kind.base in ("int8", "int16", "int32", "bigint"))
             value = value == 1 if kind.base == "boolean" else value.cast(_SPARK[kind.base])
             bit = self.schema.bits.get(name)
