@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node of its component.
 
     Each round takes the smallest root among neighbours and then jumps to the root's root, so that the number of rounds
-    grows with the logarithm of a component's diameter; each round ends in a written table.
+    grows with the logarithm of a component's diameter; each round ends in a written table. A hub has one row in ``labels`` and
+    many in ``both``: tables are written before they meet, so that Spark knows their sizes and splits the many rows.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "edges")

@@ -1,11 +1,21 @@
 import subprocess
 import sys
+import zlib
 from pathlib import Path
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from rowforge.llm import decontamination, near_duplicates, quality, toxicity
 from rowforge.llm.catalog import oracle_sql, queries
+from rowforge.llm.common import written
+from rowforge.llm.labelled import training_labels
+from rowforge.llm.near_duplicates import probability_jaccard
 
+from .test_classifiers import naive_statistics, naive_toxic_features
+from .test_decontamination import brute
+from .test_near_duplicates import sets_of
 from .test_packing import check
 
 REPO = Path(__file__).parents[2]
@@ -39,6 +49,50 @@ def test_stages(spark, sf_dir, tmp_path):
         docs = after
 
 
+def test_stages_against_brute_force(spark):
+    """Each stage on all documents of the smallest tables, against a plain version of it on its own input.
+
+    The models are the operators' own; what they are applied to is computed naively, text by text.
+    """
+    sf_dir = "/root/testdata/sf0.001"
+    if not Path(sf_dir).is_dir():
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r.text or "" for r in docs.collect()}
+        after = stage(spark, docs, sf_dir)
+        if name == "packing":
+            check(after.collect(), before, padding=8192)
+            break
+        after = written(after, name)
+        ids, texts = list(before), list(before.values())
+        if name == "toxicity":
+            model = toxicity.fit(docs.selectExpr("doc_id", "coalesce(text, '') t"), training_labels(labels, "toxic"))
+            scores = model.calibrate(model.trees(np.array([naive_toxic_features(t, model.lexicon) for t in texts])))
+            expected = {i for i, score in zip(ids, scores, strict=True) if score < 0.5}
+        elif name == "quality":
+            x = np.array([naive_statistics(t) for t in texts])
+            rows = [(i, zlib.crc32(str(i).encode()) % 5, v.tolist()) for i, v in zip(ids, x, strict=True)]
+            model = quality.fit(spark.createDataFrame(rows, "doc_id long, fold int, x array<double>"), training_labels(labels, "quality"))
+            expected = {i for i, score in zip(ids, model(x), strict=True) if score >= 0.3}
+        elif name == "near_duplicates":
+            expected = set()
+            sets, root = sets_of(texts), {}
+            for a in sorted(range(len(ids)), key=lambda k: ids[k]):
+                alike = {root[b] for b in root if texts[a] == texts[b] or probability_jaccard(*sets[a], *sets[b]) >= 0.8 - 1e-9}
+                root[a] = min(alike, default=a, key=lambda k: ids[k])
+                root |= {b: root[a] for b in root if root[b] in alike}
+            expected = {ids[a] for a in root.values()}
+        else:
+            found = brute(texts, bench)
+            expected = {i for i, (words, hit, _) in zip(ids, found, strict=True) if not (hit and 20 * hit >= words)}
+        assert {r.doc_id for r in after.collect()} == expected, name
+        assert after.count() == len(expected) < len(before)
+        docs = after
+
+
 def test_clashing_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80).selectExpr("*", "1 __uid", "2 toxicity", "3 contamination", "4 t", "5 fold", "6 score", "7 __text", "8 label")
     for name, stage in corpus_pipeline.STAGES[:-1]:
