@@ -212,9 +212,10 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _of_known(rows: DataFrame, key: str, known: DataFrame, label: str) -> DataFrame:
-    """The rows whose key is in the column of that name of ``known``, which has each key once."""
+def _of_known(rows: DataFrame, key: str, known: DataFrame, label: str, made: list[DataFrame]) -> DataFrame:
+    """The rows whose key is in the column of that name of ``known``, which has each key once. ``made`` gets what was written."""
     counted = written(rows.groupBy(key).agg(F.count("*").alias("__n")).join(known, key, "left_semi"), label)
+    made.append(counted)
     return join_counted(rows, counted, [key], "__n").drop("__n")
 
 
@@ -240,16 +241,19 @@ def mark_contamination(
     stored = written(scanned.withColumn(uid, F.monotonically_increasing_id()), "scanned")
     near = stored.where(F.size(F.col(found)) > 0).select(F.col(uid).alias("uid"), F.inline(F.col(found)))
     prints = items.where((F.col("kind") == 0)).select(F.col("hash").alias("print")).distinct()
-    long = _of_known(near.where(F.col("size") == span), "print", prints, "prints")
-    near = long.unionByName(near.where(F.col("size") < span)).select("uid", "window", "size", "starts").distinct()
+    made = [items]
+    long = _of_known(near.where(F.col("size") == span), "print", prints, "prints", made)
+    near = written(long.unionByName(near.where(F.col("size") < span)).select("uid", "window", "size", "starts").distinct(), "windows")
     windows = items.where("kind = 1").select(F.col("hash").alias("window")).distinct()
-    hits = written(_of_known(written(near, "windows"), "window", windows, "counts"), "hits")
+    hits = written(_of_known(near, "window", windows, "counts", made), "hits")
     spans = hits.groupBy("uid").agg(F.collect_list(F.struct("size", "starts")).alias("hits")).mapInArrow(_spans, "uid long, n_hit long, spans array<struct<start: long, end: long>>")
     holders = items.where("kind = 1").select(F.col("hash").alias("window"), "id")
     # both sides are written: Spark splits a window that many documents have or many items hold
-    ids = written(hits.select("uid", "window").distinct(), "places").join(holders, "window").groupBy("uid").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    places = written(hits.select("uid", "window").distinct(), "places")
+    ids = places.join(holders, "window").groupBy("uid").agg(F.array_sort(F.collect_set("id")).alias("items"))
     place, hit = free_name(stored, "__place"), free_name(stored, "__hit")
     result = written(spans.join(ids, "uid").select(F.col("uid").alias(place), F.struct("n_hit", "items", "spans").alias(hit)), "found")
+    drop_written(near, hits, places, *made)
     size = result.agg(F.sum(64 + 16 * F.size(f"{hit}.spans") + F.aggregate(F.col(hit)["items"], F.lit(0), lambda n, x: n + 16 + F.octet_length(x)))).first()[0] or 0
     result = F.broadcast(result) if size <= most_broadcast else result
     joined = stored.drop(found).join(result, F.col(uid) == F.col(place), "left")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, others, slices, written
+from .common import drop_written, free_name, others, slices, written
 from .html_tree import BLOCK, Node, hash_subtrees, parse
 
 #: Elements, roles and class or id words of what is not main text.
@@ -277,6 +277,7 @@ def extract_main_text(
         for r in site.toLocalIterator():
             of_host.setdefault(r.host, set()).add(r.hash)
         sites = pages.sparkSession.sparkContext.broadcast(of_host)
+        drop_written(hashed, site)
     else:
         # a host can have many templates, a page has few of them: it gets those that stand on it. A hash is dealt over 32 keys
         dealt = site.withColumn("salt", F.explode(F.array(*map(F.lit, range(32)))))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .calibration import Isotonic
-from .common import free_name, others, raw_bytes, slices, text_column, written
+from .common import drop_written, free_name, others, raw_bytes, slices, text_column, written
 from .labelled import fold, training_labels
 from .words import grams, merged, segments_of
 
@@ -200,6 +200,7 @@ def fit(described: DataFrame, labels: DataFrame, *, features: int = 192, widths=
     labelled = written(described.join(labels, "doc_id").select("fold", "x", "label"), "labelled")
     classes = labelled.agg(F.min("label"), F.max("label")).first()
     if classes[0] is None or classes[0] == classes[1]:
+        drop_written(labelled)
         return None
     mean, deviation = (np.array([spread[f"{p}{i}"] for i in range(size)], float) for p in "ms")
     fourier = [Fourier(mean, deviation, features, w * np.sqrt(size) / 4, seed) for w in widths]
@@ -217,6 +218,7 @@ def fit(described: DataFrame, labels: DataFrame, *, features: int = 192, widths=
             models.append([f, np.stack(without)])
     found = labelled.mapInArrow(_held(models, cells), "model long, cell long, n double, y double, score double, error double")
     found = found.groupBy("model", "cell").agg(*(F.sum(c).alias(c) for c in ("n", "y", "score", "error"))).collect()  # models x cells at most
+    drop_written(labelled)
     best = min((r.error, r.model) for r in found if r.cell < 0)[1]
     rows = [r for r in found if r.model == best and r.cell >= 0]
     n_, y_, s_ = (np.array([r[c] for r in rows]) for c in ("n", "y", "score"))

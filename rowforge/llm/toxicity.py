@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .boosting import BoostedTrees
 from .calibration import Isotonic
-from .common import free_name, hash_sample, others, slices, text_column, written
+from .common import drop_written, free_name, hash_sample, others, slices, text_column, written
 from .labelled import fold, training_labels
 
 #: Common English insults, and second-person words of English, German, French and Spanish.
@@ -248,6 +248,7 @@ def _lexicons(sample: DataFrame, least: int, size: int) -> list[dict[str, float]
         bound = odds - F.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
         best = counts.where(yes >= least).select("term", bound.alias("bound")).where("bound >= 0.7").orderBy(F.desc("bound"), "term").limit(size)
         out.append({r.term: float(r.bound) for r in best.collect()})  # size bounds the lexicon
+    drop_written(counts)
     return out
 
 
@@ -278,9 +279,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, lexicon_t
     sample = written(sample, "sample")
     classes = sample.agg(F.min("label"), F.max("label")).first()
     if classes[0] is None or classes[0] == classes[1]:
+        drop_written(sample)
         return None
     lexicons = _lexicons(sample, least_texts, lexicon_terms)
     rows = sample.mapInArrow(_features_by_half(spark.sparkContext.broadcast(lexicons)), "fold int, label double, x array<double>").toArrow()
+    drop_written(sample)
     rows = rows.combine_chunks()
     k, y = rows.column("fold").to_numpy(), rows.column("label").to_numpy()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(k), -1)
